@@ -1,9 +1,11 @@
 """The registered query of each operator, and DuckDB SQL for those that SQL can express."""
 
 from .mixing import op3_mixing
+from .simhash import op9_simhash
 from .token_counts import op1_token_counts
 from .token_output import op8_token_output
+from .warc import OP2_SQL, op2_warc
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_mixing, op8_token_output)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_warc, op3_mixing, op8_token_output, op9_simhash)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_warc": OP2_SQL}

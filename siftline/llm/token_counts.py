@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .encoding import default_tokenizer, encoder
-from .shared import table, text_of
+from .shared import land, table, text_of
 
 #: Lengths in one bucket of the two-level sums.
 BUCKET = 1024
@@ -57,4 +57,4 @@ def totals_at(histogram: DataFrame, limits: list[int]) -> DataFrame:
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every context limit's figures over all documents."""
-    return context_totals(length_histogram(with_token_count(table(spark, sf_dir, "documents").select("text"))))
+    return context_totals(land(length_histogram(with_token_count(table(spark, sf_dir, "documents").select("text"))), "lengths"))

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table, text_of
+from .shared import table
 
 WINDOW = 5
 #: Labelled rows that the rules are learned from, at most: those of the smallest hashes of doc_id.
@@ -43,7 +43,7 @@ def _covered(hashes: Column) -> Column:
 
 
 def _repeat_words(words: Column) -> Column:
-    """words: a column that is an attribute, not an expression."""
+    """words: a bound variable or an attribute, not an expression."""
     hashes = F.transform(F.sequence(F.lit(0), F.size(words) - WINDOW), lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(WINDOW))))
     return F.when(F.size(words) < WINDOW, F.lit(0).cast("long")).otherwise(let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(_covered(h))))
 
@@ -53,32 +53,34 @@ def _occurrences(text: Column, kind: str) -> Column:
     return (F.size(F.split(text, kind, -1)) - 1).cast("long")
 
 
-def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with BASE and the other counts that rules use, each under its name with a leading underscore.
+def statistics(text: Column) -> Column:
+    """A struct of BASE and the other counts that rules use. It is one expression, whose parts are bound by let: filters
+    may be pushed below it without its parts being computed for each use.
 
     A null text has no words. Windows are told apart by 64-bit hashes of their words.
     """
-    t = text_of(text)
-    x = docs.withColumn("_text", t).withColumn("_words", F.array_remove(F.split("_text", r"[\x20\x09-\x0D]+"), ""))
-    lines = F.filter(F.split("_text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    return x.select(
-        *docs.columns,
-        F.size("_words").cast("long").alias("_n_words"),
-        F.aggregate("_words", F.lit(0).cast("long"), lambda a, w: a + F.char_length(w)).alias("_word_chars"),
-        _occurrences(F.col("_text"), "[#*$%&|<>]").alias("_n_symbols"),
-        let(lines, lambda v: (F.size(v) - F.size(F.array_distinct(v))).cast("long")).alias("_n_dup_lines"),
-        _repeat_words(F.col("_words")).alias("_n_repeat_words"),
-        _occurrences(F.col("_text"), "[A-Z]").alias("_n_capitals"),
-        _occurrences(F.col("_text"), "[!?]").alias("_n_marks"),
-        _occurrences(F.col("_text"), "[0-9]").alias("_n_digits"),
-    )
-
-
-def features() -> dict[str, Column]:
-    """The numbers that rules compare, from with_statistics' columns."""
-    c = lambda n: F.col(n).cast("double")
-    words, chars = F.greatest(c("_n_words"), F.lit(1.0)), F.greatest(c("_word_chars"), F.lit(1.0))
-    values = (c("_n_words"), c("_word_chars") / words, c("_n_symbols") / words, c("_n_dup_lines") / words, c("_n_repeat_words") / words, c("_n_capitals") / chars, c("_n_marks") / words, c("_n_digits") / words)
+
+    def of(t: Column, words: Column) -> Column:
+        lines = F.filter(F.split(t, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+        return F.struct(
+            F.size(words).cast("long").alias("n_words"),
+            F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + F.char_length(w)).alias("word_chars"),
+            _occurrences(t, "[#*$%&|<>]").alias("n_symbols"),
+            let(lines, lambda v: (F.size(v) - F.size(F.array_distinct(v))).cast("long")).alias("n_dup_lines"),
+            _repeat_words(words).alias("n_repeat_words"),
+            _occurrences(t, "[A-Z]").alias("n_capitals"),
+            _occurrences(t, "[!?]").alias("n_marks"),
+            _occurrences(t, "[0-9]").alias("n_digits"),
+        )
+
+    return let(F.coalesce(text.cast("string"), F.lit("")), lambda t: let(F.array_remove(F.split(t, r"[\x20\x09-\x0D]+"), ""), lambda words: of(t, words)))
+
+
+def features(s: Column) -> dict[str, Column]:
+    """The numbers that rules compare, from a struct of statistics."""
+    c = lambda n: s[n].cast("double")
+    words, chars = F.greatest(c("n_words"), F.lit(1.0)), F.greatest(c("word_chars"), F.lit(1.0))
+    values = (c("n_words"), c("word_chars") / words, c("n_symbols") / words, c("n_dup_lines") / words, c("n_repeat_words") / words, c("n_capitals") / chars, c("n_marks") / words, c("n_digits") / words)
     return dict(zip(FEATURES, values))
 
 
@@ -171,27 +173,30 @@ def learned_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **op
     """
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("_doc")).agg(F.min("quality").alias("_quality"))
     known = known.orderBy(F.xxhash64("_doc"), "_doc").limit(sample)
-    rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_doc")).drop("_doc"))
-    got = rows.select("doc_id", "_quality", *(v.alias(k) for k, v in features().items())).collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_doc")).select("doc_id", "_quality", statistics(F.col("text")).alias("s"))
+    got = rows.select("doc_id", "_quality", *(v.alias(k) for k, v in features(F.col("s")).items())).collect()
     got = sorted({r["doc_id"]: r for r in sorted(got, key=tuple)}.values(), key=lambda r: (r["doc_id"] * 0x9E3779B97F4A7C15 & (2**64 - 1), r["doc_id"]))
     x = {k: np.array([r[k] for r in got], float) for k in FEATURES}
     return learn(x, np.array([r["_quality"] == 0 for r in got], bool), **options)
 
 
-def judged(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """docs with BASE under its own names preceded by an underscore, _base_failed and _kept."""
-    x = with_statistics(docs)
-    failed = (F.col("_n_words") < 10) | (100 * F.col("_n_repeat_words") > 20 * F.col("_n_words"))
-    return x.withColumn("_base_failed", failed).withColumn("_kept", ~failed & decision_list(rules, features()))
+def judgement(text: Column, rules: list[Rule]) -> Column:
+    """A struct of BASE, base_failed and kept."""
+
+    def of(s: Column) -> Column:
+        failed = (s["n_words"] < 10) | (100 * s["n_repeat_words"] > 20 * s["n_words"])
+        return F.struct(*(s[n].alias(n) for n in BASE), failed.alias("base_failed"), (~failed & decision_list(rules, features(s))).alias("kept"))
+
+    return let(statistics(text), of)
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of docs, all columns as they are, that neither the base rules nor the learned list reject."""
-    return judged(docs, learned_rules(docs, labels, **options)).where("_kept").select(*docs.columns)
+    return docs.where(judgement(F.col("text"), learned_rules(docs, labels, **options))["kept"])
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: base statistics, base verdict and the verdict with the learned list."""
     docs = table(spark, sf_dir, "documents")
     rules = learned_rules(docs, table(spark, sf_dir, "labels"))
-    return judged(docs.select("doc_id", "text"), rules).select("doc_id", *(F.col(f"_{n}").alias(n) for n in BASE), F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"))
+    return docs.select("doc_id", judgement(F.col("text"), rules).alias("j")).select("doc_id", "j.*")

@@ -9,6 +9,7 @@ Each bucket gives a spanning forest of its links, never all pairs.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import merged, roots_of
-from .shared import land, table, text_of
+from .shared import land, mixed, table, text_of
 
 RADIUS = 4
 SHINGLE = 4
@@ -88,16 +89,19 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE, seed: int = SEED) -> Dat
 
 
 def near(fps: np.ndarray, query: np.ndarray, word: np.ndarray, lanes: np.ndarray, planes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which (query, word) pairs hold a near fingerprint, and the lanes in which. planes: 64 x words; lanes: those to count."""
+    """Which (query, word) pairs hold a near fingerprint, and the lanes in which. fps: rows of one
+    or more 64-bit parts; planes: as many times 64 x words; lanes: those to count."""
     live, valid = np.arange(len(query)), lanes.copy()
-    bits, columns = fps[query], word
+    rows, columns = query, word
     counters = [np.zeros(len(query), np.uint64) for _ in range(radius.bit_length())]
     over = np.zeros(len(query), np.uint64)
     excess = (1 << len(counters)) - 1 - radius  # counters start here, so that a carry out means more than the radius
     for k, c in enumerate(counters):
         c[:] = ONES if excess >> k & 1 else np.uint64(0)
-    for b in range(64):
-        carry = planes[b][columns] ^ (np.uint64(0) - (bits >> np.uint64(b) & np.uint64(1)))
+    for b in range(len(planes)):
+        if b % 64 == 0:
+            bits = fps[rows, b // 64]
+        carry = planes[b][columns] ^ (np.uint64(0) - (bits >> np.uint64(b % 64) & np.uint64(1)))
         for c in counters:
             both = c & carry
             c ^= carry
@@ -106,7 +110,7 @@ def near(fps: np.ndarray, query: np.ndarray, word: np.ndarray, lanes: np.ndarray
         if b % 8 == 7:
             keep = (valid & ~over) != 0
             if not keep.all():
-                live, valid, bits, columns, over = live[keep], valid[keep], bits[keep], columns[keep], over[keep]
+                live, valid, rows, bits, columns, over = live[keep], valid[keep], rows[keep], bits[keep], columns[keep], over[keep]
                 counters = [c[keep] for c in counters]
                 if not len(live):
                     break
@@ -114,14 +118,16 @@ def near(fps: np.ndarray, query: np.ndarray, word: np.ndarray, lanes: np.ndarray
 
 
 def linked(fps: np.ndarray, group: np.ndarray, part: np.ndarray | None, radius: int, at_once: int = 1 << 15) -> np.ndarray:
-    """Root of each of fps (uint64, with the number of its group, ascending) by links within the radius in its group.
-    With part, only links between a row of part 0 and one of part 1 are sought, or within part 0 if there is no other."""
+    """Root of each of fps (rows of uint64, with the numbers of their groups, ascending) by links within the radius in its
+    group. With part, only links between rows of different parts are sought."""
+    fps = fps.reshape(len(fps), -1)
     n = len(fps)
     parent = np.arange(n)
-    padded = np.concatenate([fps, np.zeros(-n % 64, np.uint64)])
-    planes = np.empty((64, len(padded) // 64), np.uint64)
-    for b in range(64):
-        planes[b] = np.packbits((padded >> np.uint64(b) & np.uint64(1)).astype(np.uint8), bitorder="little").view("<u8")
+    planes = np.empty((64 * fps.shape[1], -(-n // 64)), np.uint64)
+    for b in range(len(planes)):
+        column = np.zeros(planes.shape[1] * 64, np.uint8)
+        column[:n] = fps[:, b // 64] >> np.uint64(b % 64) & np.uint64(1)
+        planes[b] = np.packbits(column, bitorder="little").view("<u8")
     first = np.searchsorted(group, group, "left")
     at = np.arange(n)
     # A query is compared with the rows before it in its group: words first//64 .. at//64.
@@ -162,12 +168,13 @@ def _compare(radius: int):
     def links(t: pa.Table):
         key = np.stack([np.asarray(t[c]) for c in ("tab", "key", "pa", "pb")])
         change = np.concatenate([[False], (key[:, 1:] != key[:, :-1]).any(axis=0)])
-        fps = np.asarray(t["fp"])
+        nodes = np.asarray(t["node"])
+        fps = nodes.view(np.uint64) if "bits" not in t.column_names else np.frombuffer(b"".join(t["bits"].to_pylist()), "<u8").reshape(len(nodes), -1)
         split = key[2] != key[3]
-        part = np.where(split, (np.asarray(t["own"]) == key[3]).astype(np.int64), -np.arange(len(fps)) - 1)
-        root = linked(fps.view(np.uint64), np.cumsum(change), part if split.any() else None, radius)
-        moved = np.flatnonzero(root != np.arange(len(fps)))
-        return pa.RecordBatch.from_arrays([pa.array(fps[moved]), pa.array(fps[root[moved]])], ["a", "b"])
+        part = np.where(split, (np.asarray(t["own"]) == key[3]).astype(np.int64), -np.arange(len(nodes)) - 1)
+        root = linked(fps, np.cumsum(change), part if split.any() else None, radius)
+        moved = np.flatnonzero(root != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[root[moved]])], ["a", "b"])
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -190,19 +197,27 @@ def _compare(radius: int):
     return run
 
 
-def near_links(distinct: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
-    """a, b: links that connect every two of the distinct fingerprints (fp long) within the radius, a spanning forest for
-    each bucket. Buckets of more than hot fingerprints become pairs of parts, compared by tasks of their own."""
+def in_tables(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """node (a distinct fingerprint fp), tab and key: its bucket in the table of each pair of blocks."""
     blocks, share = blocks_of(radius)
     bits = lambda a, w: F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << w) - 1))
     keys = [F.struct(F.lit(k).alias("tab"), F.shiftleft(bits(*x), y[1]).bitwiseOR(bits(*y)).alias("key")) for k, (x, y) in enumerate(combinations(blocks, share))]
-    dealt = distinct.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.tab", "k.key")
+    return distinct.select(F.col("fp").alias("node"), F.explode(F.array(*keys)).alias("k")).select("node", "k.tab", "k.key")
+
+
+def near_links(dealt: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
+    """a, b: links that connect every two nodes of a bucket within the radius, a spanning forest for each bucket.
+
+    dealt: node, tab, key and, unless the node is its own fingerprint, bits (binary). Buckets of more than hot nodes become
+    pairs of parts, compared by tasks of their own.
+    """
+    columns = [c for c in ("node", "bits") if c in dealt.columns]
     counted = land(dealt.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("tab", "key"))).where("n > 1"), "simhash-buckets")
     parts = F.ceil(F.col("n") / hot).cast("int")
-    own = F.pmod(F.xxhash64(F.lit(1), "fp"), parts).cast("int")
+    own = F.pmod(F.xxhash64(F.lit(1), "node"), parts).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.struct(F.least(p, F.col("own")).alias("pa"), F.greatest(p, F.col("own")).alias("pb")))
-    rows = counted.withColumn("own", own).select("fp", "tab", "key", "own", F.explode(pairs).alias("p")).select("fp", "tab", "key", "own", "p.pa", "p.pb")
-    placed = rows.repartition("tab", "key", "pa", "pb").sortWithinPartitions("tab", "key", "pa", "pb", "fp")
+    rows = counted.withColumn("own", own).select(*columns, "tab", "key", "own", F.explode(pairs).alias("p")).select(*columns, "tab", "key", "own", "p.pa", "p.pb")
+    placed = rows.repartition("tab", "key", "pa", "pb").sortWithinPartitions("tab", "key", "pa", "pb", "node")
     return placed.mapInArrow(_compare(radius), "a long, b long")
 
 
@@ -214,13 +229,66 @@ def with_components(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS,
     """
     prints = land(fingerprints(docs, words, seed), "simhash-prints")
     distinct = land(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    roots = roots_of(near_links(distinct.select("fp"), radius), "simhash")
+    roots = roots_of(near_links(in_tables(distinct, radius), radius), "simhash")
     placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = placed.join(ids, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+# ---- near copies by a similarity of shingle sets -----------------------------------------------------------------
+
+#: Parts of 64 bits in a long fingerprint; 512 bits tell a Jaccard similarity to about 0.03.
+PARTS = 8
+#: Smallest shingle hashes by which texts meet: texts of similarity 0.8 share one of 6 with a chance of 0.9999.
+MEETINGS = 6
+
+
+def radius_of(similarity: float, bits: int, slack: float = 1.75) -> int:
+    """Bits in which the long fingerprints of two texts of that Jaccard similarity differ: the mean plus slack deviations.
+
+    Of two sets of similarity s each bit differs with the chance acos(2s / (1 + s)) / pi."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * p + slack * math.sqrt(bits * p * (1 - p)))
+
+
+def _sketches(words: int, seed: int):
+    salts = mixed(np.arange(1, PARTS + MEETINGS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+    def run(batches):
+        for batch in batches:
+            bits, keys = [], []
+            for t in batch.column(1).to_pylist():
+                h = shingle_hashes(t or "", words, seed)
+                bits.append(np.array([majority(mixed(h ^ s)) for s in salts[:PARTS]], "<u8").tobytes())
+                h = np.unique(h) if len(h) else np.zeros(1, np.uint64)
+                keys.append([int(mixed(h ^ s).min()) - 2**63 for s in salts[PARTS:]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "bits", "keys"])
+
+    return run
+
+
+def without_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed: int = SEED) -> DataFrame:
+    """The rows of docs, all columns as they are, but for each group of near copies that of the smallest doc_id alone.
+
+    Texts meet in a bucket for each of their MEETINGS smallest shingle hashes, and are linked if their long fingerprints,
+    compared bit-sliced, are as near as those of texts of that similarity are; a group is a component of links. Equal
+    fingerprints are one node, so copies cost nothing. Texts without words are copies of each other. Of repeated rows one
+    stays. Rows with a null doc_id all stay: nothing tells them apart from others.
+    """
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
+    sketches = land(rows.mapInArrow(_sketches(words, seed), "doc_id long, bits binary, keys array<long>"), "near-sketches")
+    distinct = land(sketches.groupBy("bits").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")), "near-distinct")
+    dealt = distinct.select("node", "bits", F.posexplode("keys").alias("tab", "key"))
+    roots = roots_of(near_links(dealt, radius_of(similarity, 64 * PARTS)), "near")
+    first = distinct.select("node", "bits").join(roots, "node", "left").select("bits", F.coalesce("root", "node").alias("root"))
+    gone = land(sketches.select("doc_id", "bits").join(first, "bits").where("doc_id <> root").select(F.col("doc_id").alias("_gone")).distinct(), "near-gone")
+    left = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    one = Window.partitionBy("doc_id", "_hash").orderBy("_hash")
+    numbered = left.withColumn("_hash", F.xxhash64("text")).withColumn("_row", F.row_number().over(one))
+    return numbered.where("_row = 1 OR doc_id IS NULL").select(*docs.columns)
+
+
 def hex_of(column: str):
     return F.lpad(F.lower(F.hex(column)), 16, "0")
 

@@ -1,4 +1,593 @@
-"""Registered queries of the engine and the DuckDB SQL that gives the same rows."""
+"""Registered queries of the engine and the DuckDB SQL that gives the same rows.
+
+documents stand in for stored documents (text: content), embeddings for vectors (vec_id: doc_id), pages for crawled HTML and
+events for change events (user_id: the document, a running number: its version). Scores are rounded to 6 places.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import pages as P
+from ..functions import ring
+from ..functions import text as T
+from ..functions import urls as U
+from ..operators import changes, crawl, hybrid, lexical, present, reconcile, vectors
+from ..operators import index as X
+from ..operators.coordinator import Coordinator, WindowPolicy, best_of_shards, shard_summary, shard_window
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+SHARDS = ["shard-0", "shard-1", "shard-2"]
+QUERY = "thing thtion ering"
+REPEATED = "thing thing thtion"
+LEXICON = "'" + "', '".join(sorted(T.STOP_WORDS)) + "'"
+PATTERN = T.TOKEN.replace("'", "''")
+VECTOR_ID = 7
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", F.col("text").alias("content"), F.col("source").alias("title"))
+
+
+def index(spark, sf, shards: list[str] | None = None, stems: bool = False) -> X.Index:
+    docs = documents(spark, sf)
+    own = ring.shard_of(F.col("doc_id"), shards) if shards else None
+    out = X.build(docs, F.col("content"), stems=stems, shard=own)
+    v = read(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), vectors.as_doubles(F.col("embedding")).alias("embedding"))
+    out.vectors = v.withColumn("shard_id", ring.shard_of(F.col("doc_id"), shards) if shards else F.lit("shard-0"))
+    return out
+
+
+def vector(spark, sf, vec_id: int = VECTOR_ID) -> list[float]:
+    return read(spark, sf, "embeddings").where(F.col("vec_id") == vec_id).first()["embedding"]
+
+
+def scored(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select(*(keys or ("doc_id",)), F.round("score", 6).alias("score"))
+
+
+def best(df: DataFrame, k: int) -> DataFrame:
+    """Top rows by the rounded score, so that rounding can't reorder ties."""
+    return scored(df).orderBy(F.desc("score"), "doc_id").limit(k)
+
+
+# ---- SQL parts ----------------------------------------------------------------------------------------------------
+
+TERMS = rf"""terms AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '{PATTERN}'), lambda x: lower(x)),
+  lambda x: x NOT IN ({LEXICON}) AND regexp_matches(x, '\p{{L}}')) AS w FROM documents),
+stats AS (SELECT doc_id, len(w)::BIGINT AS doc_len FROM terms)"""
+WORDS = "words AS (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM terms)"
+POSTINGS = "postings AS (SELECT term, doc_id, count(*) AS tf FROM words GROUP BY ALL)"
+RING = """ring AS (SELECT sha256('shard-' || i || ':' || r) AS p, 'shard-' || i AS shard_id FROM range({n}) a(i), range(100) b(r)),
+firstp AS (SELECT arg_min(shard_id, p) AS s FROM ring)"""
+
+
+def routed(table: str, key: str, n: int = 3, name: str = "route") -> str:
+    return f"""{name} AS (SELECT h.id AS doc_id, coalesce(r.shard_id, (SELECT s FROM firstp)) AS shard_id
+  FROM (SELECT {key} AS id, sha256({key}::VARCHAR) AS h FROM {table}) h ASOF LEFT JOIN ring r ON h.h < r.p)"""
+
+
+def bm25_sql(terms: str, scope: str = "global") -> str:
+    """bm25(shard_id, doc_id, score) for a list of words."""
+    q = f"q AS (SELECT term, count(*) AS qtf FROM (SELECT unnest(string_split('{terms}', ' ')) AS term) GROUP BY term)"
+    home = "route.shard_id" if scope == "shard" else "''"
+    join = lambda t: f"JOIN route ON route.doc_id = {t}.doc_id" if scope == "shard" else ""
+    return f"""{q}, st AS (SELECT {home} AS shard_id, stats.doc_id, doc_len FROM stats {join('stats')}),
+ss AS (SELECT shard_id, count(*) AS n, avg(doc_len) AS al FROM st GROUP BY shard_id),
+hit AS (SELECT st.shard_id, p.term, p.doc_id, p.tf, q.qtf, st.doc_len FROM postings p JOIN q ON p.term = q.term JOIN st ON st.doc_id = p.doc_id),
+dfs AS (SELECT shard_id, term, count(*) AS df FROM hit GROUP BY ALL),
+bm25 AS (SELECT hit.shard_id, doc_id, sum(qtf * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * doc_len / al))) AS score
+  FROM hit JOIN dfs USING (shard_id, term) JOIN ss USING (shard_id) GROUP BY ALL)"""
+
+
+COSINE = f"""qv AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = {VECTOR_ID}),
+cos AS (SELECT vec_id AS doc_id, list_dot_product(embedding::DOUBLE[], q) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q, q))) AS score FROM embeddings, qv)"""
+
+
+def normal_sql(name: str, source: str) -> str:
+    return f"""{name} AS (SELECT doc_id, CASE WHEN lo = hi THEN CASE WHEN n = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ELSE (score - lo) / (hi - lo) END AS score
+  FROM {source}, (SELECT min(score) AS lo, max(score) AS hi, count(*) AS n FROM {source}))"""
+
+
+def fused_sql(a: float = 0.5, b: float = 0.5) -> str:
+    return f"""{normal_sql('na', 'lex')}, {normal_sql('nb', 'sem')},
+fused AS (SELECT coalesce(na.doc_id, nb.doc_id) AS doc_id, {a}::DOUBLE * coalesce(na.score, 0) + {b}::DOUBLE * coalesce(nb.score, 0) AS score FROM na FULL JOIN nb ON na.doc_id = nb.doc_id)"""
+
+
+def top_sql(source: str, k: int) -> str:
+    return f"SELECT doc_id, round(score, 6) AS score FROM {source} ORDER BY 2 DESC, 1 LIMIT {k}"
+
+
+BASE = f"WITH {TERMS}, {WORDS}, {POSTINGS}"
+
+# ---- analysis and statistics --------------------------------------------------------------------------------------
+
+
+@query("corpus_stats", f"WITH {TERMS} SELECT count(*) AS n_docs, sum(doc_len)::BIGINT AS total_len, round(avg(doc_len), 6) AS avg_len FROM stats")
+def corpus_stats(spark, sf):
+    return X.with_terms(documents(spark, sf), F.col("content")).select(F.size("terms").alias("n")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("total_len"), F.round(F.avg("n"), 6).alias("avg_len"))
+
+
+@query("doc_lengths", f"WITH {TERMS} SELECT doc_id, doc_len FROM stats")
+def doc_lengths(spark, sf):
+    return index(spark, sf).docs.select("doc_id", F.col("doc_len").cast("long").alias("doc_len"))
+
+
+@query("term_df", f"{BASE} SELECT term, count(*) AS df FROM postings GROUP BY term")
+def term_df(spark, sf):
+    return index(spark, sf).document_frequency()
+
+
+@query("vocabulary_size", f"{BASE} SELECT count(DISTINCT term) AS n_terms FROM postings")
+def vocabulary_size(spark, sf):
+    return index(spark, sf).vocabulary_size()
+
+
+@query("analyze_tokens", rf"SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '{PATTERN}'), lambda x: lower(x)), ' ') AS tokens FROM documents")
+def analyze_tokens(spark, sf):
+    return documents(spark, sf).select("doc_id", F.array_join(T.tokens(F.col("content")), " ").alias("tokens"))
+
+
+@query("stopword_filter", f"WITH {TERMS} SELECT doc_id, array_to_string(w, ' ') AS terms FROM terms")
+def stopword_filter(spark, sf):
+    return documents(spark, sf).select("doc_id", F.array_join(T.terms(F.col("content")), " ").alias("terms"))
+
+
+@query("analyze_stemmed")
+def analyze_stemmed(spark, sf):
+    return documents(spark, sf).select("doc_id", F.array_join(T.stemmed(F.col("content")), " ").alias("terms"))
+
+
+@query("stem_vocabulary")
+def stem_vocabulary(spark, sf):
+    return T.stem_vocabulary(documents(spark, sf).select(F.explode(T.terms(F.col("content"))).alias("w")), "w")
+
+
+@query("clean_text", r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS clean FROM documents")
+def clean_text(spark, sf):
+    return documents(spark, sf).select("doc_id", T.clean_text(F.col("content")).alias("clean"))
+
+
+@query("lexical_text", r"SELECT doc_id, concat_ws(chr(10), nullif(regexp_replace(source, '^\s+|\s+$', '', 'g'), ''), nullif(regexp_replace(text, '^\s+|\s+$', '', 'g'), '')) AS lexical FROM documents")
+def lexical_text(spark, sf):
+    return documents(spark, sf).select("doc_id", T.lexical_text(F.col("title"), F.col("content")).alias("lexical"))
+
+
+@query("postings_positions", f"{BASE} SELECT term, doc_id, count(*) AS tf, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions FROM words GROUP BY term, doc_id")
+def postings_positions(spark, sf):
+    return index(spark, sf).postings.select("term", "doc_id", F.col("tf").cast("long").alias("tf"), F.array_join(F.transform("positions", lambda p: p.cast("string")), ",").alias("positions"))
+
+
+# ---- lexical ------------------------------------------------------------------------------------------------------
+
+
+@query("candidates_any_term", f"{BASE} SELECT DISTINCT doc_id FROM postings WHERE term IN ('thing', 'ering')")
+def candidates_any_term(spark, sf):
+    return lexical.candidates(index(spark, sf), ["thing", "ering"])
+
+
+def _bm25(name: str, words: str, k: int):
+    @query(name, f"{BASE}, {bm25_sql(words)} {top_sql('bm25', k)}")
+    def run(spark, sf):
+        return best(lexical.bm25(index(spark, sf), T.analyze(words, stems=False)), k)
+
+
+_bm25("bm25_topk", QUERY, 20)
+_bm25("bm25_repeated_terms", REPEATED, 20)
+_bm25("bm25_single_term", "thble", 10)
+
+
+@query("bm25_all_scores", f"{BASE}, {bm25_sql(QUERY)} SELECT doc_id, round(score, 6) AS score FROM bm25")
+def bm25_all_scores(spark, sf):
+    return scored(lexical.bm25(index(spark, sf), T.analyze(QUERY, stems=False)))
+
+
+@query("bm25_stemmed")
+def bm25_stemmed(spark, sf):
+    return best(lexical.bm25(index(spark, sf, stems=True), T.analyze(QUERY)), 20)
+
+
+@query("bm25_shard_local_topk", f"{BASE}, {RING.format(n=3)}, {routed('documents', 'doc_id')}, {bm25_sql(QUERY, 'shard')} {top_sql('bm25', 10)}")
+def bm25_shard_local_topk(spark, sf):
+    found = lexical.bm25(index(spark, sf, SHARDS), T.analyze(QUERY, stems=False), "shard").withColumn("score", F.round("score", 6))
+    return lexical.top(best_of_shards(shard_window(found, 10)), 10)
+
+
+# ---- semantic -----------------------------------------------------------------------------------------------------
+
+
+@query("cosine_topk", f"WITH {COSINE} {top_sql('cos', 10)}")
+def cosine_topk(spark, sf):
+    return best(vectors.cosine_scores(index(spark, sf).vectors, vector(spark, sf)), 10)
+
+
+@query("cosine_sharded_topk", f"WITH {COSINE} {top_sql('cos', 10)}")
+def cosine_sharded_topk(spark, sf):
+    found = vectors.cosine_scores(index(spark, sf, SHARDS).vectors, vector(spark, sf)).withColumn("score", F.round("score", 6))
+    return lexical.top(best_of_shards(shard_window(found.select("shard_id", "doc_id", "score"), 10)), 10)
+
+
+@query("vector_norms", "SELECT vec_id, len(embedding)::BIGINT AS dim, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings")
+def vector_norms(spark, sf):
+    return read(spark, sf, "embeddings").select("vec_id", F.size("embedding").cast("long").alias("dim"), F.round(vectors.norm(vectors.as_doubles(F.col("embedding"))), 6).alias("norm"))
+
+
+@query("embed_documents")
+def embed_documents(spark, sf):
+    return vectors.embedded(documents(spark, sf), vectors.HashingModel()).select("doc_id", F.size("embedding").cast("long").alias("dim"), F.round(vectors.norm(F.col("embedding")), 6).alias("norm"))
+
+
+# ---- fusion -------------------------------------------------------------------------------------------------------
+
+
+@query("minmax_normalize", f"{BASE}, {bm25_sql(QUERY)}, {normal_sql('x', 'bm25')} SELECT doc_id, round(score, 6) AS score FROM x")
+def minmax_normalize(spark, sf):
+    return scored(hybrid.normalised(lexical.bm25(index(spark, sf), T.analyze(QUERY, stems=False))))
+
+
+def _lex_sem(spark, sf):
+    x = index(spark, sf)
+    return lexical.bm25(x, T.analyze(QUERY, stems=False)), vectors.cosine_scores(x.vectors, vector(spark, sf)).select("doc_id", "score")
+
+
+_LEX_SEM = f"{BASE}, {bm25_sql(QUERY)}, {COSINE}, lex AS (SELECT doc_id, score FROM bm25), sem AS (SELECT * FROM cos)"
+
+
+@query("fusion_weights", f"{_LEX_SEM}, {fused_sql(0.8, 0.2)} SELECT doc_id, round(score, 6) AS score FROM fused")
+def fusion_weights(spark, sf):
+    return scored(hybrid.fused(*_lex_sem(spark, sf), 0.8, 0.2))
+
+
+@query("fusion_equal_scores", f"WITH {COSINE}, lex AS (SELECT doc_id, 4.0::DOUBLE AS score FROM documents WHERE doc_id < 5), sem AS (SELECT * FROM cos), {fused_sql()} {top_sql('fused', 20)}")
+def fusion_equal_scores(spark, sf):
+    flat = documents(spark, sf).where("doc_id < 5").select("doc_id", F.lit(4.0).alias("score"))
+    return best(hybrid.fused(flat, _lex_sem(spark, sf)[1]), 20)
+
+
+@query("hybrid_local_topk", f"{_LEX_SEM}, {fused_sql()} {top_sql('fused', 10)}")
+def hybrid_local_topk(spark, sf):
+    return best(hybrid.fused(*_lex_sem(spark, sf)), 10)
+
+
+def _windowed(source: str, n: int, name: str) -> str:
+    return f"{name} AS (SELECT doc_id, max(score) AS score FROM (SELECT *, row_number() OVER (PARTITION BY shard_id ORDER BY score DESC, doc_id) AS r FROM {source}) WHERE r <= {n} GROUP BY doc_id)"
+
+
+@query(
+    "hybrid_distributed_topk",
+    f"{BASE}, {RING.format(n=3)}, {routed('(SELECT doc_id FROM documents UNION SELECT vec_id FROM embeddings)', 'doc_id')}, {bm25_sql(QUERY, 'shard')}, {COSINE}, "
+    f"sc AS (SELECT shard_id, cos.* FROM cos JOIN route USING (doc_id)), {_windowed('bm25', 50, 'lex')}, {_windowed('sc', 50, 'sem')}, {fused_sql()} {top_sql('fused', 10)}",
+)
+def hybrid_distributed_topk(spark, sf):
+    c = Coordinator(index(spark, sf, SHARDS))
+    return scored(c.hybrid(QUERY, T.analyze(QUERY, stems=False), vector(spark, sf), 10)).orderBy(F.desc("score"), "doc_id")
+
+
+@query("dedupe_max_score", "SELECT user_id AS doc_id, max(value) AS score FROM events GROUP BY user_id")
+def dedupe_max_score(spark, sf):
+    return best_of_shards(read(spark, sf, "events").select(F.col("user_id").alias("doc_id"), F.col("value").alias("score")))
+
+
+# ---- shards -------------------------------------------------------------------------------------------------------
+
+
+@query("shard_route", f"WITH {RING.format(n=3)}, {routed('documents', 'doc_id')} SELECT doc_id, shard_id FROM route")
+def shard_route(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", ring.shard_of(F.col("doc_id"), SHARDS).alias("shard_id"))
+
+
+@query("shard_balance", f"WITH {RING.format(n=3)}, {routed('documents', 'doc_id')} SELECT shard_id, count(*) AS n_docs FROM route GROUP BY shard_id")
+def shard_balance(spark, sf):
+    return shard_route(spark, sf).groupBy("shard_id").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+@query(
+    "shard_rebalance_moved",
+    f"WITH {RING.format(n=3)}, {routed('documents', 'doc_id')}, ring4 AS (SELECT sha256('shard-' || i || ':' || r) AS p, 'shard-' || i AS shard_id FROM range(4) a(i), range(100) b(r)), "
+    "r4 AS (SELECT h.id AS doc_id, coalesce(r.shard_id, (SELECT arg_min(shard_id, p) FROM ring4)) AS shard_id FROM (SELECT doc_id AS id, sha256(doc_id::VARCHAR) AS h FROM documents) h ASOF LEFT JOIN ring4 r ON h.h < r.p) "
+    "SELECT r4.shard_id, count(*) AS n_moved FROM route JOIN r4 USING (doc_id) WHERE route.shard_id <> r4.shard_id GROUP BY ALL",
+)
+def shard_rebalance_moved(spark, sf):
+    x = read(spark, sf, "documents").select(ring.shard_of(F.col("doc_id"), SHARDS).alias("old"), ring.shard_of(F.col("doc_id"), [*SHARDS, "shard-3"]).alias("shard_id"))
+    return x.where("old <> shard_id").groupBy("shard_id").agg(F.count(F.lit(1)).alias("n_moved"))
+
+
+@query("candidate_window_policy", "SELECT k::BIGINT AS k, greatest(k * 5, 50)::BIGINT AS window_size, least(greatest(k * 5, 50), 200)::BIGINT AS capped FROM (VALUES (1), (5), (10), (20), (100)) t(k)")
+def candidate_window_policy(spark, sf):
+    a, b = WindowPolicy(), WindowPolicy(most=200)
+    return spark.createDataFrame([(k, a.window(k), b.window(k)) for k in (1, 5, 10, 20, 100)], "k long, window_size long, capped long")
+
+
+_STATUS = "CASE event_type WHEN 'error' THEN CASE WHEN user_id % 2 = 0 THEN 'timed_out' ELSE 'failed' END ELSE 'ok' END"
+
+
+@query("shard_status_summary", f"WITH s AS (SELECT user_id AS shard_id, max(CASE {_STATUS} WHEN 'timed_out' THEN 2 WHEN 'failed' THEN 1 ELSE 0 END) AS w FROM events WHERE event_id < 200 GROUP BY 1) SELECT count(*) AS total_shards, count(*) FILTER (w = 0) AS successful_shards, count(*) FILTER (w = 1) AS failed_shards, count(*) FILTER (w = 2) AS timed_out_shards, bool_or(w > 0) AS partial FROM s")
+def shard_status_summary(spark, sf):
+    return shard_summary(read(spark, sf, "events").where("event_id < 200").select(F.col("user_id").alias("shard_id"), F.lit("lexical").alias("source"), F.expr(_STATUS).alias("status")))
+
+
+@query(
+    "hybrid_partial_topk",
+    f"{BASE}, {RING.format(n=3)}, {routed('(SELECT doc_id FROM documents UNION SELECT vec_id FROM embeddings)', 'doc_id')}, {bm25_sql(QUERY, 'shard')}, {COSINE}, "
+    f"sc AS (SELECT shard_id, cos.* FROM cos JOIN route USING (doc_id) WHERE shard_id <> 'shard-1'), {_windowed('bm25', 50, 'lex')}, {_windowed('sc', 50, 'sem')}, {fused_sql()} {top_sql('fused', 10)}",
+)
+def hybrid_partial_topk(spark, sf):
+    rows = [(s, k, "failed" if (s, k) == ("shard-1", "semantic") else "ok") for s in SHARDS for k in ("lexical", "semantic")]
+    c = Coordinator(index(spark, sf, SHARDS), status=spark.createDataFrame(rows, "shard_id string, source string, status string"))
+    return scored(c.hybrid(QUERY, T.analyze(QUERY, stems=False), vector(spark, sf), 10)).orderBy(F.desc("score"), "doc_id")
+
+
+# ---- presentation -------------------------------------------------------------------------------------------------
+
+
+@query("search_metadata_join", f"{BASE}, {bm25_sql(QUERY)}, t AS ({top_sql('bm25', 10)}) SELECT t.doc_id, t.score, d.source AS title FROM t LEFT JOIN documents d ON d.doc_id = t.doc_id")
+def search_metadata_join(spark, sf):
+    docs = documents(spark, sf).withColumn("url", F.lit(None).cast("string"))
+    return present.with_metadata(QUERIES["bm25_topk"](spark, sf).limit(10), docs, QUERY).select("doc_id", "score", "title")
+
+
+_AT = "least(CASE WHEN instr(l, 'zu') > 0 THEN instr(l, 'zu') ELSE 1000000000 END, CASE WHEN instr(l, 'thing') > 0 THEN instr(l, 'thing') ELSE 1000000000 END)"
+
+
+@query(
+    "snippet",
+    rf"WITH c AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents), l AS (SELECT *, lower(t) AS l FROM c), "
+    f"s AS (SELECT doc_id, t, greatest(CASE WHEN {_AT} = 1000000000 THEN 0 ELSE {_AT} - 81 END, 0) AS s FROM l) "
+    "SELECT doc_id, CASE WHEN t = '' THEN '' WHEN s + 240 < length(t) THEN rtrim(CASE WHEN s > 0 THEN '...' ELSE '' END || substring(t, s + 1, 240)) || '...' ELSE CASE WHEN s > 0 THEN '...' ELSE '' END || substring(t, s + 1, 240) END AS snippet FROM s",
+)
+def snippet(spark, sf):
+    return documents(spark, sf).select("doc_id", T.snippet(F.col("content"), "Zu thing").alias("snippet"))
+
+
+@query("highlight", "SELECT doc_id, regexp_replace(text, '(thing|ering)', '<mark>\\1</mark>', 'gi') AS marked FROM documents")
+def highlight(spark, sf):
+    return documents(spark, sf).select("doc_id", T.highlight(F.col("content"), "thing a ering Thing").alias("marked"))
+
+
+@query("content_like", "SELECT doc_id FROM documents WHERE lower(text) LIKE '%thanedble%'")
+def content_like(spark, sf):
+    return documents(spark, sf).where(F.lower("content").contains("thanedble")).select("doc_id")
+
+
+@query("documents_count", "SELECT count(*) AS n FROM documents")
+def documents_count(spark, sf):
+    return read(spark, sf, "documents").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("point_lookup", "SELECT doc_id, source FROM documents WHERE doc_id = 42")
+def point_lookup(spark, sf):
+    return read(spark, sf, "documents").where("doc_id = 42").select("doc_id", "source")
+
+
+# ---- changes and events -------------------------------------------------------------------------------------------
+
+
+@query("content_hash_groups", "SELECT sha256(text) AS content_hash, count(*) AS n_docs, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
+def content_hash_groups(spark, sf):
+    return documents(spark, sf).groupBy(changes.content_hash(F.col("content")).alias("content_hash")).agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_id")).where("n_docs > 1")
+
+
+def _detected(spark, sf):
+    """The documents come again: every third has new content, of every fifth nothing is stored yet."""
+    d = read(spark, sf, "documents").withColumn("url", F.concat(F.lit("doc:"), F.col("doc_id").cast("string")))
+    old = d.where("doc_id % 5 <> 0").select("doc_id", "url", F.col("source").alias("title"), F.col("text").alias("content"), F.lit("text").alias("content_type"), F.sha2("text", 256).alias("content_hash"), F.lit(1).alias("version"))
+    new = d.select("url", F.lit("new title").alias("title"), F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("content"), F.lit("text").alias("content_type"))
+    return changes.detect(old, new)
+
+
+_DETECTED = """det AS (SELECT 'doc:' || doc_id AS url, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id END AS doc_id,
+ CASE WHEN doc_id % 5 = 0 THEN 'created' WHEN doc_id % 3 = 0 THEN 'updated' ELSE 'unchanged' END AS change_type,
+ CASE WHEN doc_id % 5 <> 0 AND doc_id % 3 <> 0 THEN source ELSE 'new title' END AS title,
+ CASE WHEN doc_id % 5 <> 0 AND doc_id % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS version, sha256(CASE WHEN doc_id % 3 = 0 THEN text || '!' ELSE text END) AS content_hash FROM documents)"""
+
+
+@query("change_detection", f"WITH {_DETECTED} SELECT url, coalesce(doc_id, -1) AS doc_id, change_type, title, version, content_hash FROM det")
+def change_detection(spark, sf):
+    return _detected(spark, sf).select("url", F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "change_type", "title", F.col("version").cast("long").alias("version"), "content_hash")
+
+
+@query("change_summary", f"WITH {_DETECTED} SELECT change_type, count(*) AS n FROM det GROUP BY 1")
+def change_summary(spark, sf):
+    return _detected(spark, sf).groupBy("change_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("change_events", f"WITH {_DETECTED} SELECT sha256(doc_id || ':' || version) AS event_id, version AS event_version, change_type AS event_type, doc_id AS document_id, url, content_hash FROM det WHERE change_type = 'updated'")
+def change_events(spark, sf):
+    return changes.change_events(_detected(spark, sf).where("doc_id IS NOT NULL")).select("event_id", F.col("event_version").cast("long").alias("event_version"), "event_type", "document_id", "url", "content_hash")
+
+
+def _events(spark, sf):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return read(spark, sf, "events").select(F.col("event_id").cast("string").alias("event_id"), F.col("user_id").alias("document_id"), F.row_number().over(w).cast("long").alias("event_version"), "ts", "event_type", "props")
+
+
+_EVENTS = "ev AS (SELECT event_id::VARCHAR AS event_id, user_id AS document_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS event_version, ts, event_type, props FROM events)"
+
+
+@query("event_dedupe", f"WITH {_EVENTS} SELECT DISTINCT event_id FROM ev WHERE event_id::BIGINT % 3 <> 0")
+def event_dedupe(spark, sf):
+    e = _events(spark, sf)
+    return changes.deduplicated(e.unionByName(e).select("event_id"), e.where(F.col("event_id").cast("long") % 3 == 0))
+
+
+@query("event_version_state", f"WITH {_EVENTS}, d AS (SELECT document_id, max(event_version) - 2 AS dv, CASE WHEN document_id % 2 = 0 THEN max(event_version) // 2 END AS iv FROM ev GROUP BY 1) SELECT event_id, CASE WHEN event_version <= iv THEN 'stale' WHEN dv > event_version THEN 'stale' WHEN dv < event_version THEN 'future' ELSE 'current' END AS state FROM ev JOIN d USING (document_id)")
+def event_version_state(spark, sf):
+    e = _events(spark, sf)
+    d = e.groupBy("document_id").agg((F.max("event_version") - 2).alias("dv"), F.max("event_version").alias("m")).withColumn("iv", F.when(F.col("document_id") % 2 == 0, F.floor(F.col("m") / 2)))
+    return e.join(d, "document_id").select("event_id", changes.version_state(F.col("event_version"), F.col("iv"), F.col("dv")).alias("state"))
+
+
+@query("latest_indexed_version", f"WITH {_EVENTS} SELECT document_id, max(event_version) AS event_version, arg_max(event_id, event_version) AS event_id, min(ts) AS indexed_at FROM ev GROUP BY 1")
+def latest_indexed_version(spark, sf):
+    e = _events(spark, sf).select("document_id", "event_version", "event_id", F.col("ts").alias("indexed_at"))
+    return changes.latest_versions(e.where("event_version <= 3"), e.where("event_version > 3"))
+
+
+@query("event_json_fields", f"WITH {_EVENTS} SELECT event_id, event_type, (props::JSON->>'k')::BIGINT AS k FROM ev")
+def event_json_fields(spark, sf):
+    return _events(spark, sf).select("event_id", "event_type", F.from_json("props", "k long")["k"].alias("k"))
+
+
+# ---- repair and maintenance ---------------------------------------------------------------------------------------
+
+
+@query("missing_documents", f"WITH {RING.format(n=3)}, {routed('documents', 'doc_id')} SELECT doc_id, shard_id FROM route WHERE NOT (doc_id % 4 <> 0 AND shard_id <> 'shard-2')")
+def missing_documents(spark, sf):
+    have = index(spark, sf, SHARDS)
+    have.docs = have.docs.where("doc_id % 4 <> 0 AND shard_id <> 'shard-2'")
+    return reconcile.missing(read(spark, sf, "documents"), have, ring.shard_of(F.col("doc_id"), SHARDS)).select("doc_id", "shard_id")
+
+
+@query("orphan_vectors", "SELECT vec_id AS doc_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)")
+def orphan_vectors(spark, sf):
+    return reconcile.orphans(read(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id")), read(spark, sf, "documents"))
+
+
+@query("documents_without_vector", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
+def documents_without_vector(spark, sf):
+    return reconcile.orphans(read(spark, sf, "documents").select("doc_id"), read(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id")))
+
+
+@query("bootstrap_batches", f"WITH {RING.format(n=3)}, {routed('documents', 'doc_id')} SELECT shard_id, doc_id, ((row_number() OVER (PARTITION BY shard_id ORDER BY doc_id) - 1) // 100)::BIGINT AS batch FROM route")
+def bootstrap_batches(spark, sf):
+    return reconcile.batches(shard_route(spark, sf))
+
+
+def _segments(spark, sf):
+    """Two builds: the first of all but every seventh document; the second of every fifth, with its source as the text."""
+    d = documents(spark, sf)
+    return X.build(d.where("doc_id % 7 <> 0"), F.col("content")), X.build(d.where("doc_id % 5 = 0"), F.col("title"))
+
+
+def _two_builds(text: str) -> str:
+    return rf"""WITH docs2 AS ({text}), terms AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '{PATTERN}'), lambda x: lower(x)), lambda x: x NOT IN ({LEXICON}) AND regexp_matches(x, '\p{{L}}')) AS w FROM docs2),
+words AS (SELECT doc_id, unnest(w) AS term FROM terms) SELECT term, doc_id, count(*) AS tf FROM words GROUP BY ALL"""
+
+
+def _postings(x: X.Index) -> DataFrame:
+    return x.postings.select("term", "doc_id", F.col("tf").cast("long").alias("tf"))
+
+
+_REPLACED = _two_builds("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN source ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0 OR doc_id % 5 = 0")
+
+
+@query("index_replace_document", _REPLACED)
+def index_replace_document(spark, sf):
+    return _postings(X.replaced(*_segments(spark, sf)))
+
+
+@query("segment_merge", _REPLACED)
+def segment_merge(spark, sf):
+    return _postings(X.merge([*_segments(spark, sf)]))
+
+
+@query("segment_merge_legacy", f"WITH a AS ({_two_builds('SELECT doc_id, text FROM documents WHERE doc_id % 7 <> 0')}), b AS ({_two_builds('SELECT doc_id, source AS text FROM documents WHERE doc_id % 5 = 0')}) SELECT term, doc_id, coalesce(b.tf, a.tf) AS tf FROM a FULL JOIN b USING (term, doc_id)")
+def segment_merge_legacy(spark, sf):
+    return _postings(X.merge([*_segments(spark, sf)], "legacy"))
+
+
+@query("index_remove_document", _two_builds("SELECT doc_id, text FROM documents WHERE doc_id % 3 <> 0"))
+def index_remove_document(spark, sf):
+    x = index(spark, sf)
+    return _postings(X.removed(x, x.docs.where("doc_id % 3 = 0")))
+
+
+# ---- urls, pages, crawling ----------------------------------------------------------------------------------------
+
+
+@query("url_normalize", "SELECT page_id, regexp_replace(trim(url), '#.*$', '') AS url FROM pages")
+def url_normalize(spark, sf):
+    return read(spark, sf, "pages").select("page_id", U.without_fragment(F.col("url")).alias("url"))
+
+
+@query(
+    "url_parts",
+    r"SELECT page_id, regexp_replace(regexp_extract(url, '^https?://([^/?#]*)', 1), '^www\.', '') AS host, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS shown, "
+    r"upper(substring(regexp_replace(regexp_replace(regexp_extract(url, '^https?://([^/?#]*)', 1), '^www\.', ''), '[^a-zA-Z0-9]', '', 'g'), 1, 1)) AS letter, regexp_extract(url, '^(https?://[^/?#]*)', 1) || '/favicon.ico' AS icon FROM pages",
+)
+def url_parts(spark, sf):
+    url = F.col("url")
+    return read(spark, sf, "pages").select("page_id", U.domain(url).alias("host"), U.shown_path(url).alias("shown"), U.initial(U.domain(url)).alias("letter"), U.favicon(url).alias("icon"))
+
+
+@query("session_key", "SELECT page_id, sha256(regexp_replace(trim(url), '#.*$', '') || '|depth=unlimited') AS k, sha256(regexp_replace(trim(url), '#.*$', '') || '|depth=2') AS k2 FROM pages")
+def session_key(spark, sf):
+    return read(spark, sf, "pages").select("page_id", U.session_key(F.col("url"), None).alias("k"), U.session_key(F.col("url"), 2).alias("k2"))
+
+
+def _frontier(spark, sf):
+    kind = F.element_at(F.array(*map(F.lit, ("pending", "processing", "failed", "completed"))), (F.col("page_id") % 4 + 1).cast("int"))
+    return read(spark, sf, "pages").select(F.lit(1).cast("long").alias("crawl_session_id"), U.without_fragment(F.col("url")).alias("url"), F.lit(0).alias("depth"), kind.alias("status"), (F.col("page_id") % 5).cast("int").alias("attempts"), F.lit(None).cast("string").alias("last_error"))
+
+
+_FRONTIER = "fr AS (SELECT regexp_replace(trim(url), '#.*$', '') AS url, ['pending', 'processing', 'failed', 'completed'][page_id % 4 + 1] AS status, page_id % 5 AS attempts FROM pages)"
+
+
+@query("frontier_dedupe", "SELECT DISTINCT regexp_replace(trim(url), '#.*$', '') AS url FROM pages")
+def frontier_dedupe(spark, sf):
+    p = read(spark, sf, "pages").select(F.lit(1).cast("long").alias("crawl_session_id"), "url", F.lit(0).alias("depth"))
+    return crawl.enqueued(crawl.enqueued(_frontier(spark, sf).limit(0), p), p).select("url")
+
+
+@query("frontier_status_counts", f"WITH {_FRONTIER} SELECT count(*) FILTER (status IN ('pending', 'processing')) AS pending, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed FROM fr")
+def frontier_status_counts(spark, sf):
+    return crawl.status_counts(_frontier(spark, sf))
+
+
+@query("frontier_recover_retry", f"WITH {_FRONTIER} SELECT CASE WHEN status = 'processing' OR status = 'failed' AND attempts < 3 THEN 'pending' ELSE status END AS status, count(*) AS n FROM fr GROUP BY 1")
+def frontier_recover_retry(spark, sf):
+    return crawl.retried(crawl.recovered(_frontier(spark, sf))).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("html_title_text_links")
+def html_title_text_links(spark, sf):
+    page = P.parsed(F.col("html"), F.col("url"))
+    return read(spark, sf, "pages").select("page_id", page.alias("p")).select("page_id", "p.title", "p.text", F.size("p.links").cast("long").alias("n_links"))
+
+
+def _edges(spark, sf):
+    """A made-up link graph over pages: each links to two later ones and one earlier."""
+    return read(spark, sf, "pages").select("page_id", F.posexplode(F.array(F.col("page_id") * 2 + 1, F.col("page_id") * 3 + 2, F.floor(F.col("page_id") / 2))).alias("place", "to")).where("to < 250").select(F.col("page_id").cast("string").alias("src"), F.col("to").cast("string").alias("dst"), "place")
+
+
+@query("crawl_bfs_depth", "WITH RECURSIVE e AS (SELECT page_id AS a, unnest([page_id * 2 + 1, page_id * 3 + 2, page_id // 2]) AS b FROM pages), r AS (SELECT 0::BIGINT AS n, 0 AS d UNION SELECT e.b, r.d + 1 FROM r JOIN e ON e.a = r.n WHERE r.d < 4 AND e.b < 250) SELECT n::VARCHAR AS url, min(d)::BIGINT AS depth FROM r GROUP BY n")
+def crawl_bfs_depth(spark, sf):
+    return crawl.breadth_first(_edges(spark, sf), "0", max_pages=100_000, max_depth=4).select("url", F.col("depth").cast("long").alias("depth"))
+
+
+# ---- streams ------------------------------------------------------------------------------------------------------
+
+
+@query("stream_apply_events")
+def stream_apply_events(spark, sf):
+    """Change events of every tenth document, read as a stream of files, applied, and the index's documents."""
+    from ..sources.events import encoded
+    from ..sources.storage import Store
+    from ..streaming.apply import Applier
+
+    import uuid
+
+    root = f"{(spark.conf.get('spark.checkpoint.dir', '') or '/tmp/checkpoints').rstrip('/')}/siftline-stream/{uuid.uuid4().hex}"
+    docs = read(spark, sf, "documents").where("doc_id % 10 = 1").select("doc_id", F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("url"), F.col("source").alias("title"), F.col("text").alias("content"), F.sha2("text", 256).alias("content_hash"), F.lit(1).alias("version"))
+    e = changes.change_events(docs.withColumn("change_type", F.lit("created")))
+    encoded(e).select("value").write.text(f"{root}/in")
+    a = Applier(spark, f"{root}/state", lambda: docs, stems=False)
+    a.start(spark.readStream.schema("value string").text(f"{root}/in"), f"{root}/checkpoint").awaitTermination()
+    return Store(spark, f"{root}/state/index").load("shard-0").docs.select("doc_id", F.col("doc_len").cast("long").alias("doc_len"))

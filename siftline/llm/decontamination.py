@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import ALNUM, pieces, split_words, table, text_of, utf8, word_hashes
+from .shared import ALNUM, fresh, pieces, schema_of, split_words, table, text_of, utf8, word_hashes
 
 WINDOW = 8
 #: Words of the benchmark in one block; an item of more is a block of its own.
@@ -178,15 +178,12 @@ def _scan(shared, text: str, first: bool, last: bool, min_items: int, drop: bool
     return run
 
 
-def _kinds(df: DataFrame, leave: str | None = None) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != leave)
-
-
 def _through(docs: DataFrame, blocks: list[Block], text: str, min_items: int, drop: bool) -> DataFrame:
-    x, sc = docs, docs.sparkSession.sparkContext
+    x, sc, fields = docs, docs.sparkSession.sparkContext, docs.schema.fields
+    state = f"`{fresh(docs, '_hit')}` binary, `{fresh(docs, '_items')}` array<string>"
     for k, block in enumerate(blocks):
         last = k == len(blocks) - 1
-        schema = (_kinds(docs) if drop else f"{_kinds(docs, text)}, {DIGEST}") if last else f"{_kinds(docs)}, _hit binary, _items array<string>"
+        schema = (docs.schema if drop else schema_of([f for f in fields if f.name != text], DIGEST)) if last else schema_of(fields, state)
         x = x.mapInArrow(_scan(sc.broadcast(block), text, not k, last, min_items, drop), schema)
     return x
 

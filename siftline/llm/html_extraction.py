@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import pieces, table, text_of
+from .shared import pieces, schema_of, table, text_of
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|title|object)\b(?:[^>"']|"[^"]*"|'[^']*')*(?:/>|>.*?(?:</\1\s*>|\Z))"""
@@ -238,8 +238,7 @@ def with_main_text(pages: DataFrame, columns: list[str], out: str = "text") -> D
     """columns of pages (not html) and the main text of each row's html; a null or empty html, and a page of boilerplate
     only, give an empty text. Each page is a matter of its own: nothing is shuffled."""
     x = pages.select(*columns, text_of("html").alias("_html"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema.fields if f.name != "_html")
-    return x.mapInArrow(_extract("_html", columns), f"{kinds}, _main string").withColumnRenamed("_main", out)
+    return x.mapInArrow(_extract("_html", columns), schema_of(x.schema.fields[:-1], "_main string")).withColumnRenamed("_main", out)
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, land, mixed, table, text_of
+from .shared import WORD, land, mixed, schema_of, table, text_of
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
-SEGMENT = "pass int, shard int, shard_order long, first long, words long"
+SEGMENT = "pass: int, shard: int, shard_order: long, first: long, words: long"
 
 
 def targets(sizes: list[int], weights: list[float], share: float = SHARE, most: float = MOST) -> list[float]:
@@ -188,8 +188,7 @@ def mix(docs: DataFrame, columns: list[str], weights=WEIGHTS, share: float = SHA
     bases = light.groupBy("_src", "_bucket").agg(F.sum("_size").alias("_n")).select("_src", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     within = Window.partitionBy("_src", "_bucket").orderBy("_key", "doc_id", "_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = keyed.join(bases, ["_src", "_bucket"]).withColumn("_start", F.col("_base") + F.sum("_size").over(within) - F.col("_size"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema.fields)
-    schema = f"{kinds}, size long, source_size long, target double, taken long, segments array<struct<pass: int, shard: int, shard_order: long, first: long, words: long>>"
+    schema = schema_of(docs.select(*columns).schema.fields, f"size long, source_size long, target double, taken long, segments array<struct<{SEGMENT}>>")
     return placed.select(*columns, "_source", "_size", "_start").mapInArrow(_draw(spark.sparkContext.broadcast(recipe)), schema)
 
 
@@ -198,16 +197,15 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     out by shard and in the shard's order. n_chars, where there is one, is that of the new text. A text taken whole stays
     as it is; of others, the runs of words taken keep the white space between their words.
     """
-    columns = ["doc_id", *(c for c in docs.columns if c != "doc_id")]
-    drawn = mix(docs, columns, **options)
-    by_pass = drawn.select(*columns, "size", F.explode(F.array_distinct(F.transform("segments", lambda s: s["pass"]))).alias("_pass"), "segments")
-    mine = F.filter("segments", lambda s: s["pass"] == F.col("_pass"))
-    x = by_pass.withColumn("_mine", mine).withColumn("_words", F.aggregate("_mine", F.lit(0).cast("long"), lambda a, s: a + s["words"]))
+    rows = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("_doc"))
+    drawn = mix(rows, ["doc_id", "_doc"], **options)
+    x = drawn.select("_doc", "size", "segments", F.explode(F.array_distinct(F.transform("segments", lambda s: s["pass"]))).alias("_pass"))
+    x = x.withColumn("_mine", F.filter("segments", lambda s: s["pass"] == F.col("_pass"))).withColumn("_words", F.aggregate("_mine", F.lit(0).cast("long"), lambda a, s: a + s["words"]))
     ranges = F.transform("_mine", lambda s: F.struct(s["first"], s["words"]))
-    x = x.withColumn("_text", F.when(F.col("_words") == F.col("size"), F.col("text")).otherwise(_cut("text", ranges)))
-    x = x.repartition(F.col("_mine")[0]["shard"]).sortWithinPartitions(F.col("_mine")[0]["shard"], F.col("_mine")[0]["shard_order"], F.col("_mine")[0]["first"], "doc_id")
+    x = x.withColumn("_text", F.when(F.col("_words") == F.col("size"), F.col("_doc.text")).otherwise(_cut("_doc.text", ranges)))
+    x = x.repartition(F.col("_mine")[0]["shard"]).sortWithinPartitions(F.col("_mine")[0]["shard"], F.col("_mine")[0]["shard_order"], F.col("_mine")[0]["first"], F.col("_doc.doc_id"))
     out = {"text": F.col("_text"), **({"n_chars": F.char_length("_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})}
-    return x.select(*(out[c].alias(c) if c in out else F.col(c) for c in docs.columns))
+    return x.select(*(out[c].alias(c) if c in out else F.col("_doc")[c].alias(c) for c in docs.columns))
 
 
 def _cut(text: str, ranges):

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Regular expression of a word (ASCII white space ends it), as Spark and DuckDB read it.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -55,6 +56,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores until no column of df has it."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def schema_of(fields: list, more: str) -> T.StructType:
+    """Fields of a schema, then those of a DDL string."""
+    return T.StructType([*fields, *T.StructType.fromDDL(more).fields])
+
+
 def text_of(column: str):
     """A text column as a string, null as the empty string."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import merged, roots_of
-from .shared import land, mixed, table, text_of
+from .shared import fresh, land, mixed, table, text_of
 
 RADIUS = 4
 SHINGLE = 4
@@ -282,11 +282,12 @@ def without_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8
     dealt = distinct.select("node", "bits", F.posexplode("keys").alias("tab", "key"))
     roots = roots_of(near_links(dealt, radius_of(similarity, 64 * PARTS)), "near")
     first = distinct.select("node", "bits").join(roots, "node", "left").select("bits", F.coalesce("root", "node").alias("root"))
-    gone = land(sketches.select("doc_id", "bits").join(first, "bits").where("doc_id <> root").select(F.col("doc_id").alias("_gone")).distinct(), "near-gone")
-    left = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
-    one = Window.partitionBy("doc_id", "_hash").orderBy("_hash")
-    numbered = left.withColumn("_hash", F.xxhash64("text")).withColumn("_row", F.row_number().over(one))
-    return numbered.where("_row = 1 OR doc_id IS NULL").select(*docs.columns)
+    gone_id, hashed, row = (fresh(docs, n) for n in ("_gone", "_hash", "_row"))
+    gone = land(sketches.select("doc_id", "bits").join(first, "bits").where("doc_id <> root").select(F.col("doc_id").alias(gone_id)).distinct(), "near-gone")
+    left = docs.join(gone, docs["doc_id"] == F.col(gone_id), "left_anti")
+    one = Window.partitionBy("doc_id", hashed).orderBy(hashed)
+    numbered = left.withColumn(hashed, F.xxhash64("text")).withColumn(row, F.row_number().over(one))
+    return numbered.where((F.col(row) == 1) | F.col("doc_id").isNull()).select(*docs.columns)
 
 
 def hex_of(column: str):

@@ -40,8 +40,8 @@ def page_of(column):
     return F.when(digits != "", digits.cast("long"))
 
 
-def make_record(page_id, url, payload: bytes, digest: str, refers_to, revisit: bool, date: str = "2024-01-01T00:00:00Z", level: int = 4) -> bytes:
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def make_record(page_id, url, payload: bytes, digest: str, refers_to, revisit: bool, size: int | None = None, date: str = "2024-01-01T00:00:00Z", level: int = 4) -> bytes:
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload) if size is None else size}\r\n\r\n".encode()
     block = http if revisit else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {date}", f"WARC-Payload-Digest: sha1:{digest}"]
     if url:
@@ -62,7 +62,7 @@ def _write(folder: str, most: int):
         out, done, size, count = None, [], 0, 0
         for batch in batches:
             for row in batch.to_pylist():
-                data = make_record(row["page_id"], row["url"], row["payload"], row["digest"], row["keep"], row["revisit"])
+                data = make_record(row["page_id"], row["url"], row["payload"], row["digest"], row["keep"], row["revisit"], row["size"])
                 if out is None:
                     name, size, count = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = system.open_output_stream(f"{base}/{name}", compression=None)
@@ -95,7 +95,7 @@ def write_warc(pages: DataFrame, folder: str, most: int = 1 << 30) -> DataFrame:
     x = x.withColumn("digest", F.sha1("payload")).withColumn("long", F.octet_length("payload") >= REVISIT_BYTES).withColumn("salt", F.when(F.col("long"), F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")))
     groups = x.where("long").groupBy("digest").agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "keep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     marked = x.join(groups, ["digest", "salt"], "left").withColumn("revisit", F.col("keep").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keep")))
-    rows = marked.select("page_id", "url", "digest", F.when(F.col("revisit"), F.col("keep")).alias("keep"), "revisit", F.when(F.col("revisit"), F.lit(b"")).otherwise(F.col("payload")).alias("payload"))
+    rows = marked.select("page_id", "url", "digest", F.when(F.col("revisit"), F.col("keep")).alias("keep"), "revisit", F.octet_length("payload").alias("size"), F.when(F.col("revisit"), F.lit(b"")).otherwise(F.col("payload")).alias("payload"))
     return land(rows.mapInArrow(_write(folder, most), FILES), "warc-files")
 
 

@@ -151,7 +151,7 @@ def _hits(block: Block, array) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
 DIGEST = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
-def _scan(shared, text: str, first: bool, last: bool, min_items: int, drop: bool):
+def _scan(shared, text: str, state: list[str], first: bool, last: bool, min_items: int, drop: bool):
     def run(batches):
         block = shared.value
         for batch in pieces(batches, text):
@@ -165,7 +165,7 @@ def _scan(shared, text: str, first: bool, last: bool, min_items: int, drop: bool
                 names, columns = names[:-2], columns[:-2]
             if not last:
                 bits = [np.packbits(hit[a:b]).tobytes() for a, b in zip(firsts, firsts[1:])]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(bits, pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], [*names, "_hit", "_items"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(bits, pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], [*names, *state])
                 continue
             if drop:
                 yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array([len(x) < min_items for x in items], pa.bool_()))
@@ -180,11 +180,11 @@ def _scan(shared, text: str, first: bool, last: bool, min_items: int, drop: bool
 
 def _through(docs: DataFrame, blocks: list[Block], text: str, min_items: int, drop: bool) -> DataFrame:
     x, sc, fields = docs, docs.sparkSession.sparkContext, docs.schema.fields
-    state = f"`{fresh(docs, '_hit')}` binary, `{fresh(docs, '_items')}` array<string>"
+    state = [fresh(docs, "_hit"), fresh(docs, "_items")]
     for k, block in enumerate(blocks):
         last = k == len(blocks) - 1
-        schema = (docs.schema if drop else schema_of([f for f in fields if f.name != text], DIGEST)) if last else schema_of(fields, state)
-        x = x.mapInArrow(_scan(sc.broadcast(block), text, not k, last, min_items, drop), schema)
+        schema = (docs.schema if drop else schema_of([f for f in fields if f.name != text], DIGEST)) if last else schema_of(fields, f"`{state[0]}` binary, `{state[1]}` array<string>")
+        x = x.mapInArrow(_scan(sc.broadcast(block), text, state, not k, last, min_items, drop), schema)
     return x
 
 

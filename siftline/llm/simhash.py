@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import merged, roots_of
-from .shared import fresh, land, mixed, table, text_of
+from .shared import fresh, land, mixed, pieces, table, text_of
 
 RADIUS = 4
 SHINGLE = 4
@@ -76,7 +76,7 @@ def fingerprint(text: str, words: int = SHINGLE, seed: int = SEED) -> int:
 
 def _fingerprints(words: int, seed: int):
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             values = np.array([fingerprint(t or "", words, seed) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
 
@@ -256,7 +256,7 @@ def _sketches(words: int, seed: int):
     salts = mixed(np.arange(1, PARTS + MEETINGS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             bits, keys = [], []
             for t in batch.column(1).to_pylist():
                 h = shingle_hashes(t or "", words, seed)

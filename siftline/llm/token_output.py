@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .encoding import default_tokenizer, encoder
-from .shared import shared_path, table, text_of
+from .shared import pieces, shared_path, table, text_of
 
 SCHEMA = "doc_id long, part int, row_in_part long, start_in_part long, n_tokens long, ids array<int>"
 END_ID = 1
@@ -29,7 +29,7 @@ def _encode(path: str, end_id: int):
         from pyspark import TaskContext
 
         e, part, row, start = encoder(path), TaskContext.get().partitionId(), 0, 0
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             ids = [e.ids(t or "") + end for t in batch.column(1).to_pylist()]
             lengths = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
             offsets = np.concatenate([[0], np.cumsum(lengths)])

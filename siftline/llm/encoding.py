@@ -15,8 +15,8 @@ import numpy as np
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 _ODD = re.compile("[\x1c-\x1f]")
-#: Cached words and cached parts of words; beyond it a cache starts anew. It bounds memory and changes no result.
-CACHED = 250_000
+#: Cached words, and cached parts of words, in each of two generations. It bounds memory and changes no result.
+CACHED = 100_000
 
 
 def default_tokenizer() -> str:
@@ -34,40 +34,51 @@ def _byte_letters() -> dict[int, str]:
 _LETTERS = _byte_letters()
 
 
-class _Parts(dict):
-    def __init__(self, model):
-        self.model = model
+class _Cache(dict):
+    """What make() gives for a key. A full generation becomes the old one, whose entries return when they are asked for."""
 
-    def __missing__(self, part: str) -> bytes:
-        letters = part if part.isascii() else part.encode().decode("latin-1").translate(_LETTERS)
-        out = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+    def __init__(self):
+        super().__init__()
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, key: str) -> bytes:
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
         if len(self) >= CACHED:
+            self.old = dict(self)
             self.clear()
-        self[part] = out
+        self[key] = out
         return out
 
 
-class Encoder(dict):
+class _Parts(_Cache):
+    def __init__(self, model):
+        super().__init__()
+        self.model = model
+
+    def make(self, part: str) -> bytes:
+        letters = part if part.isascii() else part.encode().decode("latin-1").translate(_LETTERS)
+        return np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+
+
+class Encoder(_Cache):
     """word -> its ids as little-endian 32-bit integers; ids(text) joins them."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.whole = Tokenizer.from_file(path)
         self.parts = _Parts(self.whole.model)
 
     def by_library(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
+    def make(self, word: str) -> bytes:
         if _PLAIN.fullmatch(word) and "<|" not in word:
-            out = b"".join(map(self.parts.__getitem__, _PARTS.findall(word.lower())))
-        else:
-            out = self.by_library(word)
-        if len(self) >= CACHED:
-            self.clear()
-        self[word] = out
-        return out
+            return b"".join(map(self.parts.__getitem__, _PARTS.findall(word.lower())))
+        return self.by_library(word)
 
     def ids(self, text: str) -> bytes:
         if _ODD.search(text):

@@ -14,6 +14,18 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows and bytes of a batch that goes to a Python worker, at most (one row may be larger).
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's limits on Arrow batches, so that a few thousand long texts don't meet in a worker's memory."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}", "")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; a folder of our own where the session names none."""
     return (spark.conf.get("spark.checkpoint.dir", "") or "/tmp/checkpoints").rstrip("/") + "/siftline"
@@ -39,6 +51,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def land(df: DataFrame, tag: str, **options) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends there, and a lost executor costs nothing."""
+    bound_batches(df.sparkSession)
     path = shared_path(df.sparkSession, tag)
     df.write.options(**options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -53,6 +66,7 @@ def drop_landed(df: DataFrame) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

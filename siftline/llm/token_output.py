@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .encoding import default_tokenizer, encoder
-from .shared import pieces, shared_path, table, text_of
+from .shared import bound_batches, pieces, shared_path, table, text_of
 
 SCHEMA = "doc_id long, part int, row_in_part long, start_in_part long, n_tokens long, ids array<int>"
 END_ID = 1
@@ -50,6 +50,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     Texts are dealt by ranges of doc_id in one shuffle; equal ids stay together, ordered by a hash of the text, and null
     ids come first. Other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
     x = x.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     x = x.mapInArrow(_encode(tokenizer or default_tokenizer(), end_id), SCHEMA)

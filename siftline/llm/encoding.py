@@ -16,7 +16,7 @@ _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 _ODD = re.compile("[\x1c-\x1f]")
 #: Cached words, and cached parts of words, in each of two generations. It bounds memory and changes no result.
-CACHED = 100_000
+CACHED = 250_000
 
 
 def default_tokenizer() -> str:

@@ -21,8 +21,8 @@ BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 def bound_batches(spark: SparkSession) -> None:
     """Lower the session's limits on Arrow batches, so that a few thousand long texts don't meet in a worker's memory."""
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        now = spark.conf.get(f"spark.sql.execution.arrow.{name}", "")
-        if not now.isdigit() or not 0 < int(now) <= most:
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}").rstrip("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
             spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 

@@ -15,7 +15,8 @@ import numpy as np
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 _ODD = re.compile("[\x1c-\x1f]")
-#: Cached words, and cached parts of words, in each of two generations. It bounds memory and changes no result.
+#: Cached words and parts of words, in each of two generations, unless a caller says otherwise. It bounds memory and
+#: changes no result.
 CACHED = 250_000
 
 
@@ -34,51 +35,42 @@ def _byte_letters() -> dict[int, str]:
 _LETTERS = _byte_letters()
 
 
-class _Cache(dict):
-    """What make() gives for a key. A full generation becomes the old one, whose entries return when they are asked for."""
+class Encoder(dict):
+    """word -> its ids as little-endian 32-bit integers; ids(text) joins them. Parts of words are words of the same table.
 
-    def __init__(self):
-        super().__init__()
-        self.old: dict[str, bytes] = {}
-
-    def __missing__(self, key: str) -> bytes:
-        out = self.old.get(key)
-        if out is None:
-            out = self.make(key)
-        if len(self) >= CACHED:
-            self.old = dict(self)
-            self.clear()
-        self[key] = out
-        return out
-
-
-class _Parts(_Cache):
-    def __init__(self, model):
-        super().__init__()
-        self.model = model
-
-    def make(self, part: str) -> bytes:
-        letters = part if part.isascii() else part.encode().decode("latin-1").translate(_LETTERS)
-        return np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
-
-
-class Encoder(_Cache):
-    """word -> its ids as little-endian 32-bit integers; ids(text) joins them."""
+    A full generation becomes the old one, whose entries return when they are asked for."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = CACHED):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.cached = cached
+        self.old: dict[str, bytes] = {}
         self.whole = Tokenizer.from_file(path)
-        self.parts = _Parts(self.whole.model)
+        self.model = self.whole.model
 
     def by_library(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def by_model(self, part: str) -> bytes:
+        letters = part if part.isascii() else part.encode().decode("latin-1").translate(_LETTERS)
+        return np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+
     def make(self, word: str) -> bytes:
-        if _PLAIN.fullmatch(word) and "<|" not in word:
-            return b"".join(map(self.parts.__getitem__, _PARTS.findall(word.lower())))
-        return self.by_library(word)
+        if not _PLAIN.fullmatch(word) or "<|" in word:
+            return self.by_library(word)
+        parts = _PARTS.findall(word.lower())
+        return self.by_model(word) if parts == [word] else b"".join([self[p] for p in parts])
+
+    def __missing__(self, word: str) -> bytes:
+        out = self.old.get(word)
+        if out is None:
+            out = self.make(word)
+        if len(self) >= self.cached:
+            self.old = dict(self)
+            self.clear()
+        self[word] = out
+        return out
 
     def ids(self, text: str) -> bytes:
         if _ODD.search(text):
@@ -86,11 +78,11 @@ class Encoder(_Cache):
         return b"".join(map(self.__getitem__, text.split()))
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each file in a worker process; reused workers keep its cache."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, cached: int = CACHED) -> Encoder:
+    """One encoder for each file and size in a worker process; reused workers keep its cache."""
+    if (path, cached) not in _ENCODERS:
+        _ENCODERS[path, cached] = Encoder(path, cached)
+    return _ENCODERS[path, cached]

@@ -15,7 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 #: Rows and bytes of a batch that goes to a Python worker, at most (one row may be larger).
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 2 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:

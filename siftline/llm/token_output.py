@@ -15,20 +15,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .encoding import default_tokenizer, encoder
+from .encoding import CACHED, default_tokenizer, encoder
 from .shared import bound_batches, pieces, shared_path, table, text_of
 
 SCHEMA = "doc_id long, part int, row_in_part long, start_in_part long, n_tokens long, ids array<int>"
 END_ID = 1
 
 
-def _encode(path: str, end_id: int):
+def _encode(path: str, end_id: int, cached: int = CACHED):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         from pyspark import TaskContext
 
-        e, part, row, start = encoder(path), TaskContext.get().partitionId(), 0, 0
+        e, part, row, start = encoder(path, cached), TaskContext.get().partitionId(), 0, 0
         for batch in pieces(batches, "text"):
             ids = [e.ids(t or "") + end for t in batch.column(1).to_pylist()]
             lengths = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
@@ -44,16 +44,16 @@ def _encode(path: str, end_id: int):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10, page_rows: int = 2000) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10, page_rows: int = 2000, cached: int = CACHED) -> None:
     """Encode every whole text of docs (doc_id, text; null: empty), end each with end_id, and write the files at path.
 
     Texts are dealt by ranges of doc_id in one shuffle; equal ids stay together, ordered by a hash of the text, and null
-    ids come first. Other columns are ignored.
+    ids come first. Other columns are ignored. cached: words that a worker keeps, for time against memory.
     """
     bound_batches(docs.sparkSession)
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
     x = x.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    x = x.mapInArrow(_encode(tokenizer or default_tokenizer(), end_id), SCHEMA)
+    x = x.mapInArrow(_encode(tokenizer or default_tokenizer(), end_id, cached), SCHEMA)
     options = {"parquet.writer.version": "PARQUET_2_0", "parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.page.row.count.limit": page_rows, "parquet.dictionary.page.size": 1 << 20, "parquet.enable.dictionary#doc_id": "false", "parquet.enable.dictionary#row_in_part": "false", "parquet.enable.dictionary#start_in_part": "false", "compression": "zstd"}
     x.write.options(**options).parquet(path)
 

@@ -36,7 +36,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "pipeline-tokens")
-    write_tokens(docs, path)
+    write_tokens(docs, path, cached=80_000)  # beside the memory that earlier stages hold
     return token_digest(spark, path)
 
 

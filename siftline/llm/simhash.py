@@ -9,6 +9,7 @@ Each bucket gives a spanning forest of its links, never all pairs.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from itertools import combinations
 
@@ -252,18 +253,24 @@ def radius_of(similarity: float, bits: int, slack: float = 1.75) -> int:
     return int(bits * p + slack * math.sqrt(bits * p * (1 - p)))
 
 
+def digest_of(hashes: np.ndarray) -> bytes:
+    """Of sorted distinct hashes: equal sets, and they alone, have one digest."""
+    return hashlib.blake2b(hashes.astype("<u8", copy=False).tobytes(), digest_size=16).digest()
+
+
 def _sketches(words: int, seed: int):
     salts = mixed(np.arange(1, PARTS + MEETINGS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     def run(batches):
         for batch in pieces(batches, "text"):
-            bits, keys = [], []
+            digests, bits, keys = [], [], []
             for t in batch.column(1).to_pylist():
-                h = shingle_hashes(t or "", words, seed)
+                h = np.unique(shingle_hashes(t or "", words, seed))  # a set: a shingle that repeats counts once
+                digests.append(digest_of(h))
                 bits.append(np.array([majority(mixed(h ^ s)) for s in salts[:PARTS]], "<u8").tobytes())
-                h = np.unique(h) if len(h) else np.zeros(1, np.uint64)
+                h = h if len(h) else np.zeros(1, np.uint64)
                 keys.append([int(mixed(h ^ s).min()) - 2**63 for s in salts[PARTS:]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "bits", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "digest", "bits", "keys"])
 
     return run
 
@@ -272,18 +279,18 @@ def without_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8
     """The rows of docs, all columns as they are, but for each group of near copies that of the smallest doc_id alone.
 
     Texts meet in a bucket for each of their MEETINGS smallest shingle hashes, and are linked if their long fingerprints,
-    compared bit-sliced, are as near as those of texts of that similarity are; a group is a component of links. Equal
-    fingerprints are one node, so copies cost nothing. Texts without words are copies of each other. Of repeated rows one
+    compared bit-sliced, are as near as those of texts of that similarity are; a group is a component of links. Texts of
+    equal shingle sets are one node, so copies cost nothing. Texts without words are copies of each other. Of repeated rows one
     stays. Rows with a null doc_id all stay: nothing tells them apart from others.
     """
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
-    sketches = land(rows.mapInArrow(_sketches(words, seed), "doc_id long, bits binary, keys array<long>"), "near-sketches")
-    distinct = land(sketches.groupBy("bits").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")), "near-distinct")
+    sketches = land(rows.mapInArrow(_sketches(words, seed), "doc_id long, digest binary, bits binary, keys array<long>"), "near-sketches")
+    distinct = land(sketches.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("bits").alias("bits"), F.first("keys").alias("keys")), "near-distinct")
     dealt = distinct.select("node", "bits", F.posexplode("keys").alias("tab", "key"))
     roots = roots_of(near_links(dealt, radius_of(similarity, 64 * PARTS)), "near")
-    first = distinct.select("node", "bits").join(roots, "node", "left").select("bits", F.coalesce("root", "node").alias("root"))
+    first = distinct.select("node", "digest").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     gone_id, hashed, row = (fresh(docs, n) for n in ("_gone", "_hash", "_row"))
-    gone = land(sketches.select("doc_id", "bits").join(first, "bits").where("doc_id <> root").select(F.col("doc_id").alias(gone_id)).distinct(), "near-gone")
+    gone = land(sketches.select("doc_id", "digest").join(first, "digest").where("doc_id <> root").select(F.col("doc_id").alias(gone_id)).distinct(), "near-gone")
     left = docs.join(gone, docs["doc_id"] == F.col(gone_id), "left_anti")
     one = Window.partitionBy("doc_id", hashed).orderBy(hashed)
     numbered = left.withColumn(hashed, F.xxhash64("text")).withColumn(row, F.row_number().over(one))

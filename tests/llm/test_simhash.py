@@ -147,5 +147,12 @@ def test_near_copies_by_similarity(spark):
     assert all(i in left for i, j in expected if j < 0.6)
 
 
+def test_texts_that_share_a_repeated_run_alone_stay(spark):
+    random.seed(12)
+    new = lambda n: " ".join(f"w{random.randrange(10**6)}" for _ in range(n))
+    data = [(k, f"{new(400)} {'ha ' * 200}{new(400)}") for k in range(20)]
+    assert without_near_copies(spark.createDataFrame(data, "doc_id long, text string")).count() == 20
+
+
 def test_empty(spark):
     assert with_components(rows(spark).limit(0)).count() == 0 and without_near_copies(rows(spark).limit(0)).count() == 0

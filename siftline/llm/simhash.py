@@ -239,16 +239,21 @@ def with_components(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS,
 
 # ---- near copies by a similarity of shingle sets -----------------------------------------------------------------
 
-#: Parts of 64 bits in a long fingerprint; 512 bits tell a Jaccard similarity to about 0.03.
+#: Parts of 64 bits in a long fingerprint; 512 bits tell a Jaccard similarity to about 0.03, enough to find candidates.
 PARTS = 8
 #: Smallest shingle hashes by which texts meet: texts of similarity 0.8 share one of 6 with a chance of 0.9999.
 MEETINGS = 6
 
 
-def radius_of(similarity: float, bits: int, slack: float = 1.75) -> int:
-    """Bits in which the long fingerprints of two texts of that Jaccard similarity differ: the mean plus slack deviations.
+#: Shingle hashes of a group that one task compares; larger groups are split into pairs of parts.
+GROUP_HASHES = 1 << 21
 
-    Of two sets of similarity s each bit differs with the chance acos(2s / (1 + s)) / pi."""
+
+def radius_of(similarity: float, bits: int, slack: float = 6) -> int:
+    """Bits within which texts of that Jaccard similarity are candidates: the mean difference plus slack deviations.
+
+    Of two large sets of similarity s each bit differs with the chance acos(2s / (1 + s)) / pi; of small ones (4 of 5
+    shingles) with 0.19 instead of 0.15, which is why slack is this wide."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     return int(bits * p + slack * math.sqrt(bits * p * (1 - p)))
 
@@ -263,31 +268,133 @@ def _sketches(words: int, seed: int):
 
     def run(batches):
         for batch in pieces(batches, "text"):
-            digests, bits, keys = [], [], []
+            digests, bits, keys, sizes = [], [], [], []
             for t in batch.column(1).to_pylist():
                 h = np.unique(shingle_hashes(t or "", words, seed))  # a set: a shingle that repeats counts once
                 digests.append(digest_of(h))
+                sizes.append(len(h))
                 bits.append(np.array([majority(mixed(h ^ s)) for s in salts[:PARTS]], "<u8").tobytes())
                 h = h if len(h) else np.zeros(1, np.uint64)
                 keys.append([int(mixed(h ^ s).min()) - 2**63 for s in salts[PARTS:]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "digest", "bits", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], ["doc_id", "digest", "bits", "keys", "size"])
 
     return run
 
 
+def _sets(words: int, seed: int):
+    def run(batches):
+        for batch in pieces(batches, "text", 1 << 20):
+            sets = [np.unique(shingle_hashes(t or "", words, seed)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(digest_of, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "digest", "hashes"])
+
+    return run
+
+
+def similar(sets: list[np.ndarray], part: np.ndarray | None, similarity: float) -> np.ndarray:
+    """Root of each of the sets (sorted distinct hashes) by links of at least that Jaccard similarity. With part, only links
+    between sets of different parts are sought. Pairs that are connected already aren't compared."""
+    n, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
+    parent = np.arange(n)
+    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    have = np.zeros(len(values), np.int8)
+    for x in range(n - 1):
+        y = np.arange(x + 1, n)
+        y = y[(parent[y] != parent[x]) & (np.minimum(sizes[y], sizes[x]) >= similarity * np.maximum(sizes[y], sizes[x]))]
+        if part is not None:
+            y = y[part[y] != part[x]]
+        if not len(y):
+            continue
+        have[ids[begins[x] : ends[x]]] = 1
+        if len(y) > 32:
+            total = np.concatenate([[0], np.cumsum(have[ids], dtype=np.int64)])
+            both = total[ends[y]] - total[begins[y]]
+        else:
+            both = np.array([have[ids[begins[k] : ends[k]]].sum(dtype=np.int64) for k in y])
+        have[ids[begins[x] : ends[x]]] = 0
+        y = y[both >= similarity * (sizes[x] + sizes[y] - both)]
+        if len(y):
+            parent = merged(parent, np.full(len(y), x), y)
+    return parent
+
+
+GROUP = ("root", "tab", "key", "pa", "pb")
+
+
+def _verified(similarity: float):
+    def links(t: pa.Table):
+        keys = np.stack([np.asarray(t[c]) for c in GROUP])
+        edges = np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, [len(keys[0])]])
+        nodes, own = np.asarray(t["node"]), np.asarray(t["own"])
+        a, b = [nodes[:0]], [nodes[:0]]
+        for lo, hi in zip(edges, edges[1:]):
+            sets = [np.frombuffer(x, "<u8") for x in t["hashes"].slice(lo, hi - lo).to_pylist()]
+            root = similar(sets, own[lo:hi] if keys[3][lo] != keys[4][lo] else None, similarity)
+            moved = np.flatnonzero(root != np.arange(hi - lo))
+            a.append(nodes[lo:hi][moved])
+            b.append(nodes[lo:hi][root[moved]])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.nbytes
+            if size >= 8 << 20:
+                t = pa.Table.from_batches(held)
+                keys = [t[c].to_numpy() for c in GROUP]
+                last = np.flatnonzero(np.any([k != k[-1] for k in keys], axis=0))
+                size = 0
+                if len(last):  # the last group may go on in the next batch
+                    yield links(t.slice(0, last[-1] + 1))
+                    held = pa.Table.from_batches(t.slice(last[-1] + 1).to_batches()).combine_chunks().to_batches()
+        if held:
+            yield links(pa.Table.from_batches(held))
+
+    return run
+
+
+def similar_links(docs: DataFrame, distinct: DataFrame, candidates: DataFrame, words: int, similarity: float, seed: int = SEED, most: int = GROUP_HASHES) -> DataFrame:
+    """a, b: links of at least that exact Jaccard similarity, a spanning forest for each bucket of each candidate component.
+
+    docs: doc_id, text; distinct: node, digest, keys, size; candidates: node, root. Texts of no candidate aren't read
+    again, and of buckets that hold the same members of a component one is compared.
+    """
+    found = land(distinct.join(candidates, "node").select("node", "digest", "root", "size", F.posexplode("keys").alias("tab", "key")), "near-candidates")
+    members = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("digest")).alias("who"), F.sum("size").alias("total")]
+    buckets = found.groupBy("root", "tab", "key").agg(*members).where("n > 1")
+    buckets = buckets.groupBy("root", "n", "who").agg(F.min(F.struct("tab", "key", "total")).alias("x")).select("root", "x.*")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("total") / most)).cast("int")
+    own = F.pmod(F.xxhash64(F.lit(2), "digest"), parts).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.struct(F.least(p, F.col("own")).alias("pa"), F.greatest(p, F.col("own")).alias("pb")))
+    dealt = found.drop("size").join(buckets, ["root", "tab", "key"]).withColumn("own", own).select("node", "digest", "root", "tab", "key", "own", F.explode(pairs).alias("p"))
+    dealt = land(dealt.select("node", "digest", "root", "tab", "key", "own", "p.pa", "p.pb"), "near-groups")
+    needed = dealt.select("node").distinct()
+    texts = docs.join(needed, docs["doc_id"] == needed["node"], "left_semi").mapInArrow(_sets(words, seed), "node long, digest binary, hashes binary")
+    sets = texts.groupBy("node", "digest").agg(F.first("hashes").alias("hashes"))
+    placed = dealt.join(sets, ["node", "digest"]).select(*GROUP, "own", "node", "hashes").repartition(*GROUP).sortWithinPartitions(*GROUP, "node")
+    return placed.mapInArrow(_verified(similarity), "a long, b long")
+
+
 def without_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed: int = SEED) -> DataFrame:
     """The rows of docs, all columns as they are, but for each group of near copies that of the smallest doc_id alone.
 
-    Texts meet in a bucket for each of their MEETINGS smallest shingle hashes, and are linked if their long fingerprints,
-    compared bit-sliced, are as near as those of texts of that similarity are; a group is a component of links. Texts of
-    equal shingle sets are one node, so copies cost nothing. Texts without words are copies of each other. Of repeated rows one
+    Texts meet in a bucket for each of their MEETINGS smallest shingle hashes, and are candidates if their long
+    fingerprints, compared bit-sliced, are about as near as those of texts of that similarity are. Within the components of
+    candidates, texts of a bucket are linked if the Jaccard similarity of their shingle sets is as high; a group is a
+    component of these links. Texts of equal shingle sets are one node, so copies cost nothing. Texts without words are copies of each other. Of repeated rows one
     stays. Rows with a null doc_id all stay: nothing tells them apart from others.
     """
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
-    sketches = land(rows.mapInArrow(_sketches(words, seed), "doc_id long, digest binary, bits binary, keys array<long>"), "near-sketches")
-    distinct = land(sketches.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("bits").alias("bits"), F.first("keys").alias("keys")), "near-distinct")
+    sketches = land(rows.mapInArrow(_sketches(words, seed), "doc_id long, digest binary, bits binary, keys array<long>, size long"), "near-sketches")
+    distinct = land(sketches.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("bits").alias("bits"), F.first("keys").alias("keys"), F.first("size").alias("size")), "near-distinct")
     dealt = distinct.select("node", "bits", F.posexplode("keys").alias("tab", "key"))
-    roots = roots_of(near_links(dealt, radius_of(similarity, 64 * PARTS)), "near")
+    candidates = roots_of(near_links(dealt, radius_of(similarity, 64 * PARTS)), "near")
+    roots = roots_of(similar_links(rows, distinct, candidates, words, similarity, seed), "near-similar")
     first = distinct.select("node", "digest").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     gone_id, hashed, row = (fresh(docs, n) for n in ("_gone", "_hash", "_row"))
     gone = land(sketches.select("doc_id", "digest").join(first, "digest").where("doc_id <> root").select(F.col("doc_id").alias(gone_id)).distinct(), "near-gone")

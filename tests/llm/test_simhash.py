@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from siftline.llm.components import roots_of
-from siftline.llm.simhash import fingerprint, in_tables, linked, near_links, op9_simhash, with_components, without_near_copies
+from siftline.llm.simhash import digest_of, fingerprint, in_tables, linked, near_links, op9_simhash, shingle_hashes, similar_links, with_components, without_near_copies
 
 
 def plain(text, n=4):
@@ -154,5 +154,34 @@ def test_texts_that_share_a_repeated_run_alone_stay(spark):
     assert without_near_copies(spark.createDataFrame(data, "doc_id long, text string")).count() == 20
 
 
+def test_near_copies_are_decided_exactly(spark):
+    random.seed(13)
+    data, pairs = [], []
+    for k in range(120):
+        w = [f"w{random.randrange(10**6)}" for _ in range(304)]
+        n = random.randrange(18, 56)  # a changed end of n words: similarity (300 - n) / (300 + n), from 0.69 to 0.89
+        v = w[: 304 - n] + [f"n{random.randrange(10**6)}" for _ in range(n)]
+        data += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+        a, b = shingles(data[-1][1]), shingles(data[-2][1])
+        pairs.append(len(a & b) / len(a | b))
+    left = {r["doc_id"] for r in without_near_copies(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert left == {2 * k for k in range(120)} | {2 * k + 1 for k, j in enumerate(pairs) if j < 0.8} and 30 < sum(j < 0.8 for j in pairs) < 90
+
+
+@pytest.mark.parametrize("most", [1 << 21, 400])
+def test_links_by_exact_similarity(spark, most):
+    rng = random.Random(14)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    data = [(k, " ".join(base[p : p + 60])) for k, p in enumerate(rng.sample(range(340), 40))]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    digests = {k: digest_of(np.unique(shingle_hashes(t, 5))) for k, t in data}
+    distinct = spark.createDataFrame([(k, bytes(d), [1, 2, 3], 56) for k, d in digests.items()], "node long, digest binary, keys array<long>, size long")
+    candidates = spark.createDataFrame([(k, 0) for k in range(40)], "node long, root long")
+    s = {k: shingles(t) for k, t in data}
+    expected = groups(s, [(a, b) for a in s for b in range(a) if len(s[a] & s[b]) / len(s[a] | s[b]) >= 0.8])
+    found = [(r["a"], r["b"]) for r in similar_links(docs, distinct, candidates, 5, 0.8, most=most).collect()]
+    assert groups(s, found) == expected and 1 < len(set(expected.values())) < 40
+
+
 def test_empty(spark):
     assert with_components(rows(spark).limit(0)).count() == 0 and without_near_copies(rows(spark).limit(0)).count() == 0

@@ -577,7 +577,9 @@ def crawl_bfs_depth(spark, sf):
 
 @query("stream_apply_events")
 def stream_apply_events(spark, sf):
-    """Change events of every tenth document, read as a stream of files, applied, and the index's documents."""
+    """Change events of all documents, read as a stream of files, applied, and the index's documents.
+
+    An event's document_id is to be positive, as in the reference, and the table's ids begin at 0: events have doc_id + 1."""
     from ..sources.events import encoded
     from ..sources.storage import Store
     from ..streaming.apply import Applier
@@ -585,9 +587,9 @@ def stream_apply_events(spark, sf):
     import uuid
 
     root = f"{(spark.conf.get('spark.checkpoint.dir', '') or '/tmp/checkpoints').rstrip('/')}/siftline-stream/{uuid.uuid4().hex}"
-    docs = read(spark, sf, "documents").where("doc_id % 10 = 1").select("doc_id", F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("url"), F.col("source").alias("title"), F.col("text").alias("content"), F.sha2("text", 256).alias("content_hash"), F.lit(1).alias("version"))
+    docs = read(spark, sf, "documents").select((F.col("doc_id") + 1).alias("doc_id"), F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("url"), F.col("source").alias("title"), F.col("text").alias("content"), F.sha2("text", 256).alias("content_hash"), F.lit(1).alias("version"))
     e = changes.change_events(docs.withColumn("change_type", F.lit("created")))
     encoded(e).select("value").write.text(f"{root}/in")
     a = Applier(spark, f"{root}/state", lambda: docs, stems=False)
     a.start(spark.readStream.schema("value string").text(f"{root}/in"), f"{root}/checkpoint").awaitTermination()
-    return Store(spark, f"{root}/state/index").load("shard-0").docs.select("doc_id", F.col("doc_len").cast("long").alias("doc_len"))
+    return Store(spark, f"{root}/state/index").load("shard-0").docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("doc_len").cast("long").alias("doc_len"))

@@ -1,7 +1,8 @@
 """URL filters: gradient-boosted trees on lexical features, behind a list of allow and block rules.
 
-URLs that a rule decides are the labelled ones. Trees are grown on a bounded sample of them, by histograms of the
-features, each tree fitting the gradient of the logistic loss by Newton steps; they judge the URLs that no rule fits.
+URLs that a rule decides are the labelled ones. How often each host suffix is blocked is counted over all of them. Trees
+are grown on a bounded sample, by histograms of the features, each tree fitting the gradient of the logistic loss by Newton
+steps; they judge the URLs that no rule fits.
 """
 
 from __future__ import annotations
@@ -15,11 +16,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import land, table
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 #: Labelled URLs that the trees are grown on, at most: those of the smallest hashes.
 SAMPLE = 20_000
+#: Labelled URLs of a suffix whose rate counts, at least, and how many URLs of the mean rate are added to them.
+LEAST, SMOOTH = 5, 20.0
+#: Parts of the rows of one suffix, joined with its rate by tasks of their own.
+SALTS = 16
 FEATURES = ("length", "host_length", "path_length", "depth", "host_labels", "digit_ratio", "host_digit_ratio", "entropy", "host_entropy", "parameters", "hyphens", "has_fragment", "secure", "extension", "longest_part", "vowel_ratio", "suffix_rate", "suffix_seen")
 
 
@@ -81,11 +86,12 @@ class Model:
     rates: dict[str, tuple[float, int]] = field(default_factory=dict)
     prior: float = 0.0
 
-    def features(self, urls) -> np.ndarray:
+    def features(self, urls, known=None) -> np.ndarray:
+        """known: suffix_rate and suffix_seen of each URL, unless the model's own rates are to be used."""
         rows = []
-        for url in urls:
+        for k, url in enumerate(urls):
             x, host = lexical(url)
-            rate, seen = next((self.rates[s] for s in reversed(suffixes(host)) if s in self.rates), (self.prior, 0))
+            rate, seen = known[k] if known is not None else next((self.rates[s] for s in reversed(suffixes(host)) if s in self.rates), (self.prior, 0))
             rows.append([*x, rate, seen > 0])
         return np.array(rows, float).reshape(-1, len(FEATURES))
 
@@ -101,8 +107,8 @@ class Model:
             out += value[at]
         return out
 
-    def blocks(self, urls) -> np.ndarray:
-        return self.scores(self.features(urls)) > 0
+    def blocks(self, urls, known=None) -> np.ndarray:
+        return self.scores(self.features(urls, known)) > 0
 
 
 def _grow(x: np.ndarray, bins: np.ndarray, cuts: list[np.ndarray], g: np.ndarray, h: np.ndarray, depth: int, rate: float, least: int, ridge: float = 1.0) -> tuple[np.ndarray, ...]:
@@ -137,20 +143,20 @@ def _grow(x: np.ndarray, bins: np.ndarray, cuts: list[np.ndarray], g: np.ndarray
     return np.array(feature, np.int64), np.array(threshold, float), np.array(left, np.int64), np.array(right, np.int64), np.array(value, float)
 
 
-def train(urls: list[str], blocked: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 64, least: int = 5, smooth: float = 20.0) -> Model | None:
-    """A model from labelled URLs; None if either label is missing."""
+def train(urls: list[str], blocked: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 64, least: int = LEAST, smooth: float = SMOOTH, known=None) -> Model | None:
+    """A model from labelled URLs; None if either label is missing. known: as in Model.features."""
     blocked = np.asarray(blocked, float)
     if not len(blocked) or blocked.min() == blocked.max():
         return None
     prior = blocked.mean()
     sums: dict[str, list[float]] = {}
-    for url, y in zip(urls, blocked):
+    for url, y in zip(urls, blocked) if known is None else ():
         for s in set(suffixes(lexical(url)[1])):
             c = sums.setdefault(s, [0.0, 0])
             c[0] += y
             c[1] += 1
     model = Model(math.log(prior / (1 - prior)), rates={s: ((y + smooth * prior) / (n + smooth), n) for s, (y, n) in sums.items() if n >= least}, prior=prior)
-    x = model.features(urls)
+    x = model.features(urls, known)
     cuts = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1], method="lower")) for c in x.T]
     cuts = [c[c < v.max()] for c, v in zip(cuts, x.T)]
     binned = np.stack([np.searchsorted(c, v, "left") for c, v in zip(cuts, x.T)], axis=1)
@@ -163,10 +169,35 @@ def train(urls: list[str], blocked: np.ndarray, trees: int = 60, depth: int = 4,
     return model
 
 
-def learned(labelled: DataFrame, sample: int = SAMPLE, **options) -> Model | None:
-    """A model from labelled (url, blocked), of which the distinct URLs of the smallest hashes are used, sample at most."""
-    rows = labelled.where("url IS NOT NULL").groupBy("url").agg(F.max("blocked").alias("blocked")).orderBy(F.xxhash64("url"), "url").limit(sample).collect()
-    return train([r["url"] for r in rows], np.array([r["blocked"] for r in rows]), **options)
+def suffix_rates(labelled: DataFrame, prior: float) -> DataFrame:
+    """suffix, rate of each suffix of at least LEAST of the labelled (url, blocked) rows: all of them, each URL once."""
+    host = host_of(F.col("url"))
+    both = F.array_distinct(F.array(*(F.substring_index(host, ".", -k) for k in (1, 2))))
+    counted = labelled.select("blocked", F.explode(both).alias("suffix")).groupBy("suffix").agg(F.sum("blocked").alias("y"), F.count(F.lit(1)).alias("n"))
+    rate = (F.col("y") + F.lit(SMOOTH * prior)) / (F.col("n") + F.lit(SMOOTH))
+    return land(counted.where(F.col("n") >= LEAST).select("suffix", rate.alias("rate")), "url-suffixes")
+
+
+def with_rates(rows: DataFrame, rates: DataFrame, url: str) -> DataFrame:
+    """rows with _rate: that of the URL's last two host labels, else of the last one, else null."""
+    host = host_of(F.col(url))
+    x = rows.withColumn("_salt", F.pmod(F.xxhash64(url), F.lit(SALTS)).cast("int"))
+    for k in (1, 2):
+        x = x.withColumn(f"_s{k}", F.substring_index(host, ".", -k))
+        salted = rates.select(F.col("suffix").alias(f"_s{k}"), F.col("rate").alias(f"_r{k}"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+        x = x.join(salted, [f"_s{k}", "_salt"], "left")
+    return x.withColumn("_rate", F.coalesce("_r2", "_r1")).select(*rows.columns, "_rate")
+
+
+def learned(labelled: DataFrame, rates: DataFrame, prior: float, sample: int = SAMPLE, **options) -> Model | None:
+    """A model from labelled (url, blocked), of which the URLs of the smallest hashes are used to fit it, sample at most."""
+    rows = sorted(with_rates(labelled.orderBy(F.xxhash64("url"), "url").limit(sample), rates, "url").collect())
+    return train([r["url"] for r in rows], np.array([r["blocked"] for r in rows]), known=[known(r["_rate"], prior) for r in rows], **options)
+
+
+def known(rate: float | None, prior: float) -> tuple[float, bool]:
+    """suffix_rate and suffix_seen."""
+    return (prior, False) if rate is None or rate != rate else (rate, True)
 
 
 def judge(pages: DataFrame, columns: list[str], rules=RULES, sample: int = SAMPLE) -> DataFrame:
@@ -179,16 +210,20 @@ def judge(pages: DataFrame, columns: list[str], rules=RULES, sample: int = SAMPL
     x = pages.select(*columns, F.col("url").cast("string").alias("_url")).withColumn("host", host_of(F.col("_url"))).withColumn("path", path_of(F.col("_url"))).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     blocking = [r for v, r in rules if v == "block"]
     blocked = F.col("rule").isin(blocking) if blocking else F.lit(False)
-    model = sc.broadcast(learned(x.where(F.col("rule").isNotNull()).select(F.col("_url").alias("url"), blocked.cast("int").alias("blocked")), sample))
+    labelled = x.where(F.col("rule").isNotNull() & F.col("_url").isNotNull()).groupBy(F.col("_url").alias("url")).agg(F.max(blocked.cast("int")).alias("blocked"))
+    prior = labelled.agg(F.avg("blocked")).first()[0] or 0.0
+    rates = suffix_rates(labelled, prior)
+    model = sc.broadcast(learned(labelled, rates, prior, sample))
 
     @F.pandas_udf("boolean")
-    def by_trees(urls):
+    def by_trees(urls, rate):
         import pandas as pd
 
         m = model.value
-        return pd.Series(m.blocks(urls) if m else np.zeros(len(urls), bool), index=urls.index)
+        return pd.Series(m.blocks(urls, [known(r, prior) for r in rate]) if m else np.zeros(len(urls), bool), index=urls.index)
 
-    verdict = F.when(F.col("rule").isNotNull(), F.when(blocked, "block").otherwise("allow")).when(by_trees("_url"), "block").otherwise("allow")
+    x = with_rates(x, rates, "_url")
+    verdict = F.when(F.col("rule").isNotNull(), F.when(blocked, "block").otherwise("allow")).when(by_trees("_url", "_rate"), "block").otherwise("allow")
     return x.withColumn("verdict", verdict).select(*columns, "host", "path", "rule", "verdict")
 
 

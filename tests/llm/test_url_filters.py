@@ -56,6 +56,18 @@ def test_held_out_accuracy():
     assert (m.blocks(urls[800:]) == y[800:]).mean() > 0.97
 
 
+def test_suffixes_are_counted_over_all_labels(spark):
+    random.seed(3)
+    hosts = sorted({"".join(random.sample("bcdfghkl", 8)) + ".zz" for _ in range(80)})
+    random.shuffle(hosts)
+    bad = set(hosts[::2])
+    rules = [("block" if h in bad else "allow", f"{h}/r") for h in hosts]
+    urls = [f"http://{h}/{p}{k}" for h in hosts for p in "rq" for k in range(30, 45)]
+    d = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rows = judge(d, ["page_id"], rules, sample=200).where("rule IS NULL").collect()
+    assert len(rows) == len(urls) // 2 and np.mean([(r["verdict"] == "block") == (r["host"] in bad) for r in rows]) > 0.97
+
+
 def test_query(spark, sf):
     rows = op10_url_filters(spark, sf).collect()
     urls = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}

@@ -564,7 +564,7 @@ def html_title_text_links(spark, sf):
 
 def _edges(spark, sf):
     """A made-up link graph over pages: each links to two later ones and one earlier."""
-    return read(spark, sf, "pages").select("page_id", F.posexplode(F.array(F.col("page_id") * 2 + 1, F.col("page_id") * 3 + 2, F.floor(F.col("page_id") / 2))).alias("place", "to")).where("to < 250").select(F.col("page_id").cast("string").alias("src"), F.col("to").cast("string").alias("dst"), "place")
+    return read(spark, sf, "pages").select("page_id", F.posexplode(F.array(F.col("page_id") * 2 + 1, F.col("page_id") * 3 + 2, F.floor(F.col("page_id") / 2))).alias("place", "to")).select(F.col("page_id").cast("string").alias("src"), F.col("to").cast("string").alias("dst"), "place")
 
 
 @query("crawl_bfs_depth", "WITH RECURSIVE e AS (SELECT page_id AS a, unnest([page_id * 2 + 1, page_id * 3 + 2, page_id // 2]) AS b FROM pages), r AS (SELECT 0::BIGINT AS n, 0 AS d UNION SELECT e.b, r.d + 1 FROM r JOIN e ON e.a = r.n WHERE r.d < 4 AND e.b < 250) SELECT n::VARCHAR AS url, min(d)::BIGINT AS depth FROM r GROUP BY n")

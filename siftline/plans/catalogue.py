@@ -15,6 +15,7 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..operators import changes, crawl, hybrid, lexical, present, reconcile, vectors
 from ..operators import index as X
+from ..sources.shared import shared_folder
 from ..operators.coordinator import Coordinator, WindowPolicy, best_of_shards, shard_summary, shard_window
 
 QUERIES: dict = {}
@@ -586,7 +587,7 @@ def stream_apply_events(spark, sf):
 
     import uuid
 
-    root = f"{(spark.conf.get('spark.checkpoint.dir', '') or '/tmp/checkpoints').rstrip('/')}/siftline-stream/{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     docs = read(spark, sf, "documents").select((F.col("doc_id") + 1).alias("doc_id"), F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("url"), F.col("source").alias("title"), F.col("text").alias("content"), F.sha2("text", 256).alias("content_hash"), F.lit(1).alias("version"))
     e = changes.change_events(docs.withColumn("change_type", F.lit("created")))
     encoded(e).select("value").write.text(f"{root}/in")

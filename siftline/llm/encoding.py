@@ -9,15 +9,19 @@ the library see differently also go through the library whole. So ids are the li
 from __future__ import annotations
 
 import re
+import sys
+from array import array
+from contextlib import contextmanager
 
 import numpy as np
 
+from .shared import release
+
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 _ODD = re.compile("[\x1c-\x1f]")
-#: Cached words and parts of words, in each of two generations, unless a caller says otherwise. It bounds memory and
-#: changes no result.
-CACHED = 250_000
+#: Cached words and parts of words, unless a caller says otherwise. It bounds memory and changes no result.
+CACHED = 400_000
 
 
 def default_tokenizer() -> str:
@@ -36,16 +40,14 @@ _LETTERS = _byte_letters()
 
 
 class Encoder(dict):
-    """word -> its ids as little-endian 32-bit integers; ids(text) joins them. Parts of words are words of the same table.
-
-    A full generation becomes the old one, whose entries return when they are asked for."""
+    """word -> its ids as little-endian 32-bit integers; ids(text) joins them. Parts of words are words of the same table,
+    which begins anew when it is full."""
 
     def __init__(self, path: str, cached: int = CACHED):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.cached = cached
-        self.old: dict[str, bytes] = {}
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
 
@@ -54,20 +56,22 @@ class Encoder(dict):
 
     def by_model(self, part: str) -> bytes:
         letters = part if part.isascii() else part.encode().decode("latin-1").translate(_LETTERS)
-        return np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+        return _packed([t.id for t in self.model.tokenize(letters)])
 
     def make(self, word: str) -> bytes:
+        if word.isascii() and (body := word[:-1]).isalpha() and word.isprintable():  # a word, or one with a mark behind it
+            low = word.lower()
+            if low[-1].isalpha():
+                return self.by_model(word) if low == word else self[low]
+            return self[low[:-1]] + self[low[-1]]
         if not _PLAIN.fullmatch(word) or "<|" in word:
             return self.by_library(word)
         parts = _PARTS.findall(word.lower())
         return self.by_model(word) if parts == [word] else b"".join([self[p] for p in parts])
 
     def __missing__(self, word: str) -> bytes:
-        out = self.old.get(word)
-        if out is None:
-            out = self.make(word)
+        out = self.make(word)
         if len(self) >= self.cached:
-            self.old = dict(self)
             self.clear()
         self[word] = out
         return out
@@ -78,11 +82,26 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
-_ENCODERS: dict[tuple[str, int], Encoder] = {}
+def _packed(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+_LOADED: dict[str, Encoder] = {}
 
 
-def encoder(path: str, cached: int = CACHED) -> Encoder:
-    """One encoder for each file and size in a worker process; reused workers keep its cache."""
-    if (path, cached) not in _ENCODERS:
-        _ENCODERS[path, cached] = Encoder(path, cached)
-    return _ENCODERS[path, cached]
+@contextmanager
+def encoder(path: str, cached: int = CACHED):
+    """A worker's encoder of that file: loaded once, its words forgotten at the end, so that what a reused worker
+    keeps doesn't add up with what later stages need."""
+    if path not in _LOADED:
+        _LOADED[path] = Encoder(path, cached)
+    e = _LOADED[path]
+    e.cached = cached
+    try:
+        yield e
+    finally:
+        e.clear()
+        release()

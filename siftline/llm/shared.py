@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import shared_folder
+
 #: Regular expression of a word (ASCII white space ends it), as Spark and DuckDB read it.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -26,14 +28,9 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a folder of our own where the session names none."""
-    return (spark.conf.get("spark.checkpoint.dir", "") or "/tmp/checkpoints").rstrip("/") + "/siftline"
-
-
 def shared_path(spark: SparkSession, tag: str) -> str:
     """A new path in the shared folder; what is written there goes when the session's JVM ends."""
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     hadoop, _ = _hadoop(spark, path)
     hadoop.deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(path))
     return path
@@ -139,32 +136,46 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_KEYS: dict[int, np.ndarray] = {}
+#: Masks of the lowest 0 to 8 bytes.
+_LOWEST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words of more bytes are hashed one by one.
+_LONG = 64
 
 
-def _keys(n: int, seed: int) -> np.ndarray:
-    if len(_KEYS.get(seed, ())) < n:
-        _KEYS[seed] = mixed((np.arange(max(n, 256), dtype=np.uint64) + np.uint64(seed + 1)) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-    return _KEYS[seed]
+def word_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
+    """A 64-bit hash of each word: its bytes, eight at a time, mixed in turn with its length. Memory is a few bytes for each
+    byte of data, and then goes by words; words of more than 64 bytes are hashed by XXH64."""
+    import xxhash
 
-
-def word_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, lower: bool, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of each word: multilinear over its bytes, then mixed with its length."""
     if not len(begins):
         return np.empty(0, np.uint64)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = LOWER[data] if lower else data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place
     lengths = ends - begins
-    firsts = np.cumsum(lengths) - lengths
-    within = np.arange(firsts[-1] + lengths[-1], dtype=np.int64)
-    within -= np.repeat(firsts, lengths)
-    bytes_ = data[within + np.repeat(begins, lengths)]
-    if lower:
-        bytes_ = LOWER[bytes_]
-    values = _keys(int(lengths.max()), seed)[within]
-    values *= bytes_.astype(np.uint64) + np.uint64(1)
-    return mixed(np.add.reduceat(values, firsts) + lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
-
-def pieces(batches, text: str, most: int = 4 << 20):
+    out = mixed(eight[begins] & _LOWEST[np.minimum(lengths, 8)] ^ lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    more = np.flatnonzero(lengths > 8)
+    for k in range(8, _LONG, 8):
+        left = lengths[more] - k
+        out[more] = mixed(out[more] * np.uint64(0xD6E8FEB86659FD93) ^ eight[begins[more] + k] & _LOWEST[np.minimum(left, 8)])
+        more = more[left > 8]
+    bytes_ = memoryview(padded)
+    out[more] = [xxhash.xxh64_intdigest(bytes_[b:e]) for b, e in zip(begins[more].tolist(), ends[more].tolist())]
+    return out
+
+
+def release() -> None:
+    """Give freed memory back to the system, at the end of a worker's task."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc: nothing to give back by hand
+        pass
+
+
+def pieces(batches, text: str, most: int = 512 << 10):
     """Record batches again, each with about `most` bytes of text or one row, so that what NumPy needs stays bounded."""
     for batch in batches:
         _, offsets = utf8(batch.column(batch.schema.get_field_index(text)))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,19 +16,22 @@ BUCKET = 1024
 
 
 def with_token_count(docs: DataFrame, tokenizer: str | None = None, text: str = "text", out: str = "n_tokens") -> DataFrame:
-    """docs with the number of ids of each whole text; a null or empty text has 0."""
+    """docs with the number of ids of each whole text, however long, in a column out (one of that name is replaced). A null
+    or empty text has 0; repeated rows stay; an empty table gives no rows."""
     path = tokenizer or default_tokenizer()
 
     @F.pandas_udf("long")
-    def counts(texts):
-        e = encoder(path)
-        return texts.map(lambda t: len(e.ids(t)) >> 2)
+    def counts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        with encoder(path) as e:
+            for texts in batches:
+                yield texts.map(lambda t: len(e.ids(t)) >> 2)
 
     return docs.withColumn(out, counts(text_of(text)))
 
 
 def length_histogram(lengths: DataFrame, column: str = "n_tokens") -> DataFrame:
-    """n_tokens, n_docs: how many rows have each length. Partial counts are made before the shuffle, so no length is hot."""
+    """n_tokens, n_docs: how many rows have each length; rows without a length are one with a null length. Partial counts are
+    made before the shuffle, so no length is hot."""
     return lengths.groupBy(F.col(column).cast("long").alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs"))
 
 

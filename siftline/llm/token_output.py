@@ -1,8 +1,8 @@
 """Token-ID output: Parquet files of id lists in document order, read back selectively.
 
 Layout: one row a document with doc_id, part (number of the file in order), row_in_part, start_in_part (ids before it in
-its file), n_tokens and ids. Files follow doc_id; within one, rows are sorted, so row groups and the page index bound
-doc_id tightly. ids are dictionary encoded (16 bits an id for this vocabulary), other integers are delta encoded (format
+its file), n_tokens and ids. Files follow the order asked for (doc_id, unless a caller says otherwise); within one, rows
+are sorted, so row groups and the page index bound doc_id tightly. ids are dictionary encoded (16 bits an id for this vocabulary), other integers are delta encoded (format
 2 pages); row groups and pages are bounded by the parameters. Metadata reads touch no page of ids.
 """
 
@@ -15,49 +15,57 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .encoding import CACHED, default_tokenizer, encoder
+from .encoding import default_tokenizer, encoder
 from .shared import bound_batches, pieces, shared_path, table, text_of
 
 SCHEMA = "doc_id long, part int, row_in_part long, start_in_part long, n_tokens long, ids array<int>"
 END_ID = 1
 
 
-def _encode(path: str, end_id: int, cached: int = CACHED):
+def _encode(path: str, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         from pyspark import TaskContext
 
-        e, part, row, start = encoder(path, cached), TaskContext.get().partitionId(), 0, 0
-        for batch in pieces(batches, "text"):
-            ids = [e.ids(t or "") + end for t in batch.column(1).to_pylist()]
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
-            offsets = np.concatenate([[0], np.cumsum(lengths)])
-            values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.full(len(ids), part, np.int32)), pa.array(np.arange(row, row + len(ids))), pa.array(start + offsets[:-1]), pa.array(lengths), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)],
-                ["doc_id", "part", "row_in_part", "start_in_part", "n_tokens", "ids"],
-            )
-            row += len(ids)
-            start += int(offsets[-1])
+        part, row, start = TaskContext.get().partitionId(), 0, 0
+        with encoder(path) as e:
+            for batch in pieces(batches, "text"):
+                ids = [e.ids(t or "") + end for t in batch.column(1).to_pylist()]
+                lengths = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+                offsets = np.concatenate([[0], np.cumsum(lengths)])
+                values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(np.full(len(ids), part, np.int32)), pa.array(np.arange(row, row + len(ids))), pa.array(start + offsets[:-1]), pa.array(lengths), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)],
+                    ["doc_id", "part", "row_in_part", "start_in_part", "n_tokens", "ids"],
+                )
+                row += len(ids)
+                start += int(offsets[-1])
 
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10, page_rows: int = 2000, cached: int = CACHED) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, row_group_bytes: int = 16 << 20, page_bytes: int = 256 << 10, page_rows: int = 2000, order: tuple = ("doc_id",)) -> None:
     """Encode every whole text of docs (doc_id, text; null: empty), end each with end_id, and write the files at path.
 
-    Texts are dealt by ranges of doc_id in one shuffle; equal ids stay together, ordered by a hash of the text, and null
-    ids come first. Other columns are ignored. cached: words that a worker keeps, for time against memory.
+    Texts are dealt by ranges of order (columns or expressions) in one shuffle, nulls first; rows that are equal in it are
+    ordered, and dealt to several tasks if they are many, by a hash of the text. An empty table gives no rows. Other
+    columns are ignored.
     """
     bound_batches(docs.sparkSession)
-    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
-    x = x.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    x = x.mapInArrow(_encode(tokenizer or default_tokenizer(), end_id, cached), SCHEMA)
+    keys = [f"_order{k}" for k in range(len(order))]
+    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"), *((F.col(c) if isinstance(c, str) else c).alias(k) for c, k in zip(order, keys)))
+    x = x.withColumn("_hash", F.xxhash64("text")).repartitionByRange(*keys, "_hash").sortWithinPartitions(*keys, "_hash")
+    x = x.select("doc_id", "text").mapInArrow(_encode(tokenizer or default_tokenizer(), end_id), SCHEMA)
     options = {"parquet.writer.version": "PARQUET_2_0", "parquet.block.size": row_group_bytes, "parquet.page.size": page_bytes, "parquet.page.row.count.limit": page_rows, "parquet.dictionary.page.size": 1 << 20, "parquet.enable.dictionary#doc_id": "false", "parquet.enable.dictionary#row_in_part": "false", "parquet.enable.dictionary#start_in_part": "false", "compression": "zstd"}
     x.write.options(**options).parquet(path)
 
 
+def as_stored() -> tuple:
+    """Order of write_tokens that keeps the rows of a stored table as they lie in its files, in the order of their names."""
+    return F.col("_metadata.file_name"), F.col("_metadata.row_index")
+
+
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(path)
 

@@ -21,7 +21,8 @@ def by_library(text):
 
 
 def own(text):
-    return np.frombuffer(encoder(default_tokenizer()).ids(text), "<u4").tolist()
+    with encoder(default_tokenizer()) as e:
+        return np.frombuffer(e.ids(text), "<u4").tolist()
 
 
 @settings(max_examples=300, deadline=None)

@@ -142,7 +142,7 @@ _LOWEST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _LONG = 64
 
 
-def word_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
+def word_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, lower: bool, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of each word: its bytes, eight at a time, mixed in turn with its length. Memory is a few bytes for each
     byte of data, and then goes by words; words of more than 64 bytes are hashed by XXH64."""
     import xxhash
@@ -153,14 +153,14 @@ def word_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, lower: b
     padded[: len(data)] = LOWER[data] if lower else data
     eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place
     lengths = ends - begins
-    out = mixed(eight[begins] & _LOWEST[np.minimum(lengths, 8)] ^ lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    out = mixed(eight[begins] & _LOWEST[np.minimum(lengths, 8)] ^ (lengths + (seed << 32)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     more = np.flatnonzero(lengths > 8)
     for k in range(8, _LONG, 8):
         left = lengths[more] - k
         out[more] = mixed(out[more] * np.uint64(0xD6E8FEB86659FD93) ^ eight[begins[more] + k] & _LOWEST[np.minimum(left, 8)])
         more = more[left > 8]
     bytes_ = memoryview(padded)
-    out[more] = [xxhash.xxh64_intdigest(bytes_[b:e]) for b, e in zip(begins[more].tolist(), ends[more].tolist())]
+    out[more] = [xxhash.xxh64_intdigest(bytes_[b:e], seed) for b, e in zip(begins[more].tolist(), ends[more].tolist())]
     return out
 
 

@@ -23,23 +23,20 @@ END_ID = 1
 
 
 def _encode(path: str, end_id: int):
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches):
         from pyspark import TaskContext
 
         part, row, start = TaskContext.get().partitionId(), 0, 0
         with encoder(path) as e:
             for batch in pieces(batches, "text"):
-                ids = [e.ids(t or "") + end for t in batch.column(1).to_pylist()]
-                lengths = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
-                offsets = np.concatenate([[0], np.cumsum(lengths)])
-                values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+                n = batch.num_rows
+                values, offsets = e.ids(batch.column(1))
+                values, offsets = np.insert(values, offsets[1:], end_id), offsets + np.arange(n + 1)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(np.full(len(ids), part, np.int32)), pa.array(np.arange(row, row + len(ids))), pa.array(start + offsets[:-1]), pa.array(lengths), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)],
+                    [batch.column(0), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(row, row + n)), pa.array(start + offsets[:-1]), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))],
                     ["doc_id", "part", "row_in_part", "start_in_part", "n_tokens", "ids"],
                 )
-                row += len(ids)
+                row += n
                 start += int(offsets[-1])
 
     return run

@@ -3,13 +3,15 @@
 Each source's documents stand in a keyed random order and its words are cut into blocks. A source takes whole passes over
 its blocks and then a keyed permutation's first blocks, the last one in part, so that it takes its target to the word. The
 blocks so taken are quotas; a binary tree over the output shards splits them exactly, each node drawing its left half's
-share of every source at once from the multivariate hypergeometric law. Shard s then holds a run of the source's permuted
-blocks, disjoint from other shards', and orders its blocks by a keyed hash.
+share of every source at once from the multivariate hypergeometric law. A node's draw depends on its place alone, so a
+task goes down the tree only where its own blocks go, and no table of shards is made or sent. Shard s then holds a run of
+the source's permuted blocks, disjoint from other shards', and orders its blocks by a keyed hash.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,12 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, land, mixed, schema_of, table, text_of
+from .shared import WORD, land, mixed, table, text_of
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
-SEGMENT = "pass: int, shard: int, shard_order: long, first: long, words: long"
+#: A document's words that one shard has in one pass: where the shard puts them, how many, and the runs they lie in.
+PIECE = "pass: int, shard: int, shard_order: long, words: long, runs: array<struct<first: long, words: long>>"
+#: Nodes of the tree whose draws a worker keeps.
+NODES = 100_000
+GOLDEN = 0x9E3779B97F4A7C15
 
 
 def targets(sizes: list[int], weights: list[float], share: float = SHARE, most: float = MOST) -> list[float]:
@@ -55,46 +61,95 @@ def permuted(x: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """shards x sources: quotas split exactly, every shard getting its equal part of all blocks (to one block)."""
-    out = np.zeros((shards, len(quotas)), np.int64)
-    stack = [(0, shards, quotas.astype(np.int64))]
-    while stack:
-        a, b, q = stack.pop()
-        if b - a == 1:
-            out[a] = q
-            continue
-        mid = (a + b) // 2
-        left = np.random.default_rng([seed, a, b]).multivariate_hypergeometric(q, int(q.sum()) * (mid - a) // (b - a), method="marginals")
-        stack += [(a, mid, left), (mid, b, q - left)]
-    return out
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of n draws without replacement are good. NumPy draws from fewer than 1e9; from more, the same law by the
+    ratio of uniforms (Stadlober 1989)."""
+    total = good + bad
+    if total < 1_000_000_000:
+        return int(rng.hypergeometric(good, bad, n)) if total else 0
+    few, draws = min(good, bad), min(n, total - n)
+    share = few / total
+    centre, spread = draws * share + 0.5, math.sqrt((total - draws) * draws * share * (1 - share) / (total - 1) + 0.5)
+    width, most = 1.7155277699214135 * spread + 0.8989161620588988, min(draws, few)
+    log = lambda k: -sum(map(math.lgamma, (k + 1, few - k + 1, draws - k + 1, total - few - draws + k + 1)))
+    best = log((draws + 1) * (few + 1) // (total + 2))
+    while True:
+        u, v = 1 - rng.random(), rng.random()
+        k = math.floor(centre + width * (v - 0.5) / u)
+        if 0 <= k <= most and 2 * math.log(u) <= log(k) - best:
+            break
+    k = k if draws == n else few - k
+    return k if good <= bad else n - k
+
+
+@dataclass
+class Tree:
+    """The splitting tree: quotas (blocks of each source) of all shards, dealt to halves down to single shards."""
+
+    quotas: np.ndarray
+    shards: int
+    seed: int
+    known: dict = field(default_factory=dict)
+
+    def left(self, a: int, b: int, quotas: np.ndarray) -> np.ndarray:
+        """Quotas of the left half of shards a..b, every half getting its equal part of all blocks (to one block)."""
+        if (a, b) not in self.known:
+            rng, out, rest = np.random.default_rng([self.seed, a, b]), np.zeros(len(quotas), np.int64), int(quotas.sum())
+            draws = rest * ((a + b) // 2 - a) // (b - a)
+            for k, q in enumerate(map(int, quotas)):
+                rest -= q
+                out[k] = hypergeometric(rng, q, rest, draws)
+                draws -= int(out[k])
+            if len(self.known) >= NODES:
+                self.known.clear()
+            self.known[a, b] = out
+        return self.known[a, b]
+
+    def shard_of(self, source: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Shard of each block: a source and a place among its quota."""
+        out, stack = np.zeros(len(source), np.int64), [(0, self.shards, self.quotas, np.arange(len(source)))]
+        place = place.copy()
+        while stack:
+            a, b, quotas, rows = stack.pop()
+            if b - a == 1 or not len(rows):
+                out[rows] = a
+                continue
+            left = self.left(a, b, quotas)
+            goes = place[rows] < left[source[rows]]
+            other = rows[~goes]
+            place[other] -= left[source[other]]
+            stack += [(a, (a + b) // 2, left, rows[goes]), ((a + b) // 2, b, quotas - left, other)]
+        return out
+
+    def leaves(self) -> np.ndarray:
+        """shards x sources, to look at; as many rows as there are shards."""
+        out = np.zeros((self.shards, len(self.quotas)), np.int64)
+        for k, q in enumerate(self.quotas):
+            np.add.at(out[:, k], self.shard_of(np.full(q, k), np.arange(q)), 1)
+        return out
 
 
 @dataclass
 class Recipe:
-    """What the driver draws up: a row for each source (never for documents), and the tree's leaves."""
+    """What the driver draws up: a row for each source, never for documents or shards."""
 
     names: list[str | None]
     sizes: list[int]
     targets: list[float]
     block: int
     seed: int
-    shards: int
     whole: list[int] = field(default_factory=list)  # whole passes
     drawn: list[int] = field(default_factory=list)  # whole blocks of the last pass
     rest: list[int] = field(default_factory=list)  # words of the block after those
-    bounds: np.ndarray | None = None  # shards x sources: quotas summed up to each shard
+    tree: Tree | None = None
 
     @classmethod
     def of(cls, totals: list[tuple], weights, share, most, block, words_a_shard, seed) -> Recipe:
         rows = sorted(totals, key=lambda r: (r[0] is None, r[0] or ""))
         sizes = [int(r[1] or 0) for r in rows]
-        goal = targets(sizes, [weights[k % len(weights)] for k in range(len(rows))], share, most)
-        total = sum(goal)
-        block = max(block, math.ceil(total / 5e8))  # NumPy draws from at most 1e9 blocks
-        out = cls([r[0] for r in rows], sizes, goal, block, seed, max(1, math.ceil(total / words_a_shard)))
+        out = cls([r[0] for r in rows], sizes, targets(sizes, [weights[k % len(weights)] for k in range(len(rows))], share, most), block, seed)
         quotas = []
-        for k, (size, t) in enumerate(zip(sizes, goal)):
+        for k, (size, t) in enumerate(zip(sizes, out.targets)):
             whole, left = divmod(round(t), size) if size else (0, 0)
             blocks = -(-size // block)
             short, drawn, rest = size - (blocks - 1) * block, 0, 0
@@ -111,21 +166,21 @@ class Recipe:
             out.drawn.append(drawn)
             out.rest.append(rest)
             quotas.append(whole * blocks + drawn + (rest > 0))
-        out.bounds = np.cumsum(split_quotas(np.array(quotas, np.int64), out.shards, seed), axis=0) if rows else np.zeros((1, 0), np.int64)
+        out.tree = Tree(np.array(quotas, np.int64), max(1, math.ceil(sum(out.targets) / words_a_shard)), seed)
         return out
 
     def key(self, source: int, turn: int) -> int:
         return (self.seed * 1_000_003 + source) * 64 + turn
 
-    def segments(self, k: int, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-        """Of source k's documents at start: how many segments each has, and their columns."""
+    def _taken(self, k: int, start: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+        """Of source k's documents at start: document, pass, block, place among the quota, first word and words of each block taken."""
         blocks = -(-self.sizes[k] // self.block)
         first, last = start // self.block, (start + size - 1) // self.block
         n = np.where(size > 0, last - first + 1, 0)
         doc = np.repeat(np.arange(len(start)), n)
         at = first[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
         got: list[tuple] = []
-        quota = int(self.bounds[-1, k])
+        quota = int(self.tree.quotas[k])
         for turn in range(self.whole[k] + 1):
             place = permuted(at, blocks, self.key(k, turn)) if len(at) else at
             room = np.full(len(at), self.block) if turn < self.whole[k] else np.where(place < self.drawn[k], self.block, np.where(place == self.drawn[k], self.rest[k], 0))
@@ -133,98 +188,110 @@ class Recipe:
             words = np.minimum(start[doc] + size[doc], at * self.block + room) - begin
             use = words > 0
             drawn = permuted(turn * blocks + place[use], quota, self.key(k, 63)) if use.any() else place[use]
-            got.append((doc[use], np.full(use.sum(), turn), np.searchsorted(self.bounds[:, k], drawn, "right"), drawn, (begin - start[doc])[use], words[use]))
-        doc, turn, shard, drawn, begin, words = (np.concatenate(c) for c in zip(*got))
-        order = np.lexsort((begin, turn, doc))
-        rank = (mixed((drawn.astype(np.uint64) + np.uint64(k << 40)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)).astype(np.int64)
-        return np.bincount(doc, minlength=len(start)), {"pass": turn[order].astype(np.int32), "shard": shard[order].astype(np.int32), "shard_order": rank[order], "first": begin[order], "words": words[order]}
-
-
-def _draw(shared):
-    def run(batches):
-        recipe: Recipe = shared.value
-        of = {name: k for k, name in enumerate(recipe.names)}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            n = batch.num_columns
-            source = np.array([of[x] for x in batch.column(n - 3).to_pylist()])
-            size, start = np.asarray(batch.column(n - 2)), np.asarray(batch.column(n - 1))
-            counts, columns, rows = np.zeros(len(source), np.int64), [], []
-            for k in np.unique(source):
-                mine = np.flatnonzero(source == k)
-                counts[mine], c = recipe.segments(int(k), start[mine], size[mine])
-                columns.append(c)
-                rows.append(np.repeat(mine, counts[mine]))
-            order = np.argsort(np.concatenate(rows), kind="stable")
-            c = {name: np.concatenate([x[name] for x in columns])[order] for name in columns[0]}
-            offsets = np.concatenate([[0], np.cumsum(counts)])
-            taken = np.concatenate([[0], np.cumsum(c["words"])])[offsets]
-            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.StructArray.from_arrays([pa.array(v) for v in c.values()], list(c)))
-            added = {"source_size": pa.array(np.array(recipe.sizes)[source]), "target": pa.array(np.array(recipe.targets)[source]), "taken": pa.array(np.diff(taken)), "segments": lists}
-            yield pa.RecordBatch.from_arrays([*batch.columns[: n - 3], batch.column(n - 2), *added.values()], [*batch.schema.names[: n - 3], "size", *added])
-
-    return run
+            got.append((doc[use], np.full(use.sum(), turn), at[use], drawn, (begin - start[doc])[use], words[use]))
+        return [np.concatenate(c) for c in zip(*got)]
+
+    def pieces(self, source: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.ListArray:
+        """PIECE of each document: source number, words of its source before it, words."""
+        parts = []
+        for k in np.unique(source):
+            mine = np.flatnonzero(source == k)
+            doc, *rest = self._taken(int(k), start[mine], size[mine])
+            parts.append([mine[doc], np.full(len(doc), k), *rest])
+        doc, k, turn, at, drawn, begin, words = (np.concatenate(c) if parts else np.empty(0, np.int64) for c in (zip(*parts) if parts else [()] * 7))
+        shard = self.tree.shard_of(k, drawn)
+        # A block's passes stand a golden section of the shard apart, so that repeats aren't neighbours.
+        rank = mixed(at.astype(np.uint64) * np.uint64(GOLDEN) ^ mixed(k.astype(np.uint64) + np.uint64(self.seed))) + turn.astype(np.uint64) * np.uint64(GOLDEN)
+        order = np.lexsort((begin, shard, turn, doc))
+        doc, turn, shard, rank, begin, words = (x[order] for x in (doc, turn, shard, rank, begin, words))
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (turn[1:] != turn[:-1]) | (shard[1:] != shard[:-1])
+        run = new.copy()
+        run[1:] |= begin[1:] != begin[:-1] + words[:-1]
+        heads, runs = np.flatnonzero(new), np.flatnonzero(run)
+        summed = lambda x, at: np.add.reduceat(x, at) if len(at) else x[:0]
+        lists = pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(runs, heads), len(runs)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(begin[runs]), pa.array(summed(words, runs))], ["first", "words"]))
+        columns = [pa.array(turn[heads].astype(np.int32)), pa.array(shard[heads].astype(np.int32)), pa.array((rank[heads] >> np.uint64(1)).astype(np.int64)), pa.array(summed(words, heads)), lists]
+        offsets = np.searchsorted(doc[heads], np.arange(len(source) + 1))
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.StructArray.from_arrays(columns, ["pass", "shard", "shard_order", "words", "runs"]))
+
+
+def _drawn(docs: DataFrame, columns: list[str], light: bool, weights, share, most, block, words_a_shard, seed) -> DataFrame:
+    """doc (a struct of columns), size, source_size, target, pieces of every row. light: columns are small enough to be
+    written with the sizes, so that texts are read once."""
+    spark = docs.sparkSession
+    size = F.size(F.regexp_extract_all(text_of("text"), F.lit(WORD), F.lit(0))).cast("long")
+    base = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("doc"), F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("key"))
+    sized = land(base if light else base.drop("doc"), "mix-sizes")
+    totals = sized.groupBy("source").agg(F.sum("size"), F.count(F.lit(1))).collect()  # a row for each source
+    recipe = Recipe.of([tuple(r) for r in totals], weights, share, most, block, words_a_shard, seed)
+    bits = min(20, max(4, math.ceil(math.log2(sum(r[2] for r in totals) / 1024 + 1))))
+    placed = lambda x: x.withColumn("bucket", F.shiftrightunsigned("key", 64 - bits)).withColumn("src", F.coalesce(F.concat(F.lit("="), "source"), F.lit("-")))
+    before = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bases = placed(sized).groupBy("src", "bucket").agg(F.sum("size").alias("n")).select("src", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("src", "bucket").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = placed(sized if light else base).join(bases, ["src", "bucket"]).withColumn("start", F.col("base") + F.sum("size").over(within) - F.col("size"))
+    shared = spark.sparkContext.broadcast(recipe)
+
+    @F.arrow_udf(f"struct<source_size: long, target: double, pieces: array<struct<{PIECE}>>>")
+    def draw(source: pa.Array, start: pa.Array, size: pa.Array) -> pa.Array:
+        r: Recipe = shared.value
+        of = {name: k for k, name in enumerate(r.names)}
+        k = np.array([of[x] for x in source.to_pylist()], np.int64)
+        columns = [pa.array(np.array(r.sizes, np.int64)[k]), pa.array(np.array(r.targets, float)[k]), r.pieces(k, np.asarray(start), np.asarray(size))]
+        return pa.StructArray.from_arrays(columns, ["source_size", "target", "pieces"])
+
+    return rows.select("doc", "size", draw("source", "start", "size").alias("drawn")).select("doc", "size", "drawn.*")
 
 
 def mix(docs: DataFrame, columns: list[str], weights=WEIGHTS, share: float = SHARE, most: float = MOST, block: int = 1024, words_a_shard: int = 1 << 22, seed: int = 17) -> DataFrame:
-    """columns of docs (doc_id first), size, source_size, target, taken and segments (pass, shard, shard_order, first word,
-    words) of every row. Columns that clash with these names are not to be asked for.
+    """columns of docs (doc_id, text, source and any others), size, source_size, target, taken and pieces (PIECE) of every row.
 
     Null and empty texts have size 0 and are never taken; a null source is a source of its own, the last. Repeated rows
-    are documents of their own. An empty table gives no rows. The driver holds one row a source and the shards' quotas.
-    """
-    spark = docs.sparkSession
-    x = docs.select(*columns, F.col("source").alias("_source"), F.size(F.regexp_extract_all(text_of("text"), F.lit(WORD), F.lit(0))).cast("long").alias("_size"))
-    sized = land(x.select("doc_id", "_source", "_size"), "mix-sizes")
-    totals = sized.groupBy("_source").agg(F.sum("_size"), F.count(F.lit(1))).collect()
-    recipe = Recipe.of([tuple(r) for r in totals], weights, share, most, block, words_a_shard, seed)
-    rows = sum(r[2] for r in totals)
-    bits = min(20, max(4, math.ceil(math.log2(rows / 1024 + 1))))
-    keyed = (sized if columns == ["doc_id"] else x).withColumn("_key", F.xxhash64(F.lit(seed), "doc_id"))
-    keyed = keyed.withColumn("_bucket", F.shiftrightunsigned("_key", 64 - bits)).withColumn("_src", F.coalesce(F.concat(F.lit("="), "_source"), F.lit("-")))
-    light = sized.withColumn("_key", F.xxhash64(F.lit(seed), "doc_id")).withColumn("_bucket", F.shiftrightunsigned("_key", 64 - bits)).withColumn("_src", F.coalesce(F.concat(F.lit("="), "_source"), F.lit("-")))
-    before = Window.partitionBy("_src").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = light.groupBy("_src", "_bucket").agg(F.sum("_size").alias("_n")).select("_src", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy("_src", "_bucket").orderBy("_key", "doc_id", "_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = keyed.join(bases, ["_src", "_bucket"]).withColumn("_start", F.col("_base") + F.sum("_size").over(within) - F.col("_size"))
-    schema = schema_of(docs.select(*columns).schema.fields, f"size long, source_size long, target double, taken long, segments array<struct<{SEGMENT}>>")
-    return placed.select(*columns, "_source", "_size", "_start").mapInArrow(_draw(spark.sparkContext.broadcast(recipe)), schema)
-
-
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: for each document and pass a row of docs' columns whose text has the words taken in that pass, laid
-    out by shard and in the shard's order. n_chars, where there is one, is that of the new text. A text taken whole stays
-    as it is; of others, the runs of words taken keep the white space between their words.
+    are documents of their own. An empty table gives no rows. Long texts are cut into pieces like any other. Other columns
+    may have any names; asking for one that has the name of a result is an error. The driver holds one row a source.
     """
-    rows = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("_doc"))
-    drawn = mix(rows, ["doc_id", "_doc"], **options)
-    x = drawn.select("_doc", "size", "segments", F.explode(F.array_distinct(F.transform("segments", lambda s: s["pass"]))).alias("_pass"))
-    x = x.withColumn("_mine", F.filter("segments", lambda s: s["pass"] == F.col("_pass"))).withColumn("_words", F.aggregate("_mine", F.lit(0).cast("long"), lambda a, s: a + s["words"]))
-    ranges = F.transform("_mine", lambda s: F.struct(s["first"], s["words"]))
-    x = x.withColumn("_text", F.when(F.col("_words") == F.col("size"), F.col("_doc.text")).otherwise(_cut("_doc.text", ranges)))
-    x = x.repartition(F.col("_mine")[0]["shard"]).sortWithinPartitions(F.col("_mine")[0]["shard"], F.col("_mine")[0]["shard_order"], F.col("_mine")[0]["first"], F.col("_doc.doc_id"))
-    out = {"text": F.col("_text"), **({"n_chars": F.char_length("_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})}
-    return x.select(*(out[c].alias(c) if c in out else F.col("_doc")[c].alias(c) for c in docs.columns))
-
+    if clash := {"size", "source_size", "target", "taken", "pieces"} & {c.lower() for c in columns}:
+        raise ValueError(f"columns have the names of results: {sorted(clash)}")
+    taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda n, p: n + p["words"])
+    return _drawn(docs, columns, True, weights, share, most, block, words_a_shard, seed).select("doc.*", "size", "source_size", "target", taken.alias("taken"), "pieces")
 
-def _cut(text: str, ranges):
-    import re
 
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, block: int = 1024, words_a_shard: int = 1 << 22, seed: int = 17) -> DataFrame:
+    """The mix itself: for each document, pass and shard a row of docs' columns whose text has the words that the shard's
+    quota takes of it. A partition holds whole shards, one after the other, each in its own order; so do the files that it
+    is written to. n_chars, where there is one, is that of the new text. A text taken whole stays as it is; of others, the
+    runs of words taken keep the white space between their words. Edge cases are those of mix; rows that aren't taken go.
+    """
+    drawn = _drawn(docs, docs.columns, False, weights, share, most, block, words_a_shard, seed)
+    whole = (F.size("pieces") == F.array_size(F.filter("pieces", lambda p: p["words"] == F.col("size"))))
+    x = drawn.where(F.size("pieces") > 0).withColumn("cut", F.when(~whole, _cut(F.when(~whole, F.col("doc.text")), F.when(~whole, F.transform("pieces", lambda p: p["runs"])))))
+    rest = [c for c in docs.columns if c != "text"]
+    kept = F.struct(*(F.col(f"doc.`{c}`").alias(c) for c in rest)).alias("doc")
+    text = F.when(whole, F.col("doc.text").cast("string"))
+    x = x.select(kept, text.alias("whole"), F.explode(F.arrays_zip("pieces", F.coalesce("cut", F.transform("pieces", lambda p: F.lit(None).cast("string"))).alias("cut"))).alias("p"))
+    x = x.select("doc", F.coalesce("p.cut", "whole").alias("text"), F.col("p.pieces.shard").alias("shard"), F.col("p.pieces.shard_order").alias("place"), F.col("p.pieces.runs")[0]["first"].alias("first"))
+    x = x.repartition("shard").sortWithinPartitions("shard", "place", "first")
+    chars = {"n_chars": F.char_length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    return x.select(*(F.col("text") if c == "text" else chars[c].alias(c) if c in chars else F.col(f"doc.`{c}`").alias(c) for c in docs.columns))
+
+
+def _cut(text, runs):
+    """Of each text the parts that lists of runs of words take, an array of texts."""
     word = re.compile(r"[^ \t-\r]+")
 
-    @F.udf("string", useArrow=True)
-    def cut(t, parts):
-        spans = [m.span() for m in word.finditer(t or "")]
-        runs: list[list[int]] = []
-        for first, words in sorted(map(tuple, parts)):
-            if runs and runs[-1][1] == first:
-                runs[-1][1] += words
-            else:
-                runs.append([first, first + words])
-        return "\n".join(t[spans[a][0] : spans[b - 1][1]] for a, b in runs)
-
-    return cut(F.col(text), ranges)
+    @F.arrow_udf("array<string>")
+    def cut(texts: pa.Array, pieces: pa.Array) -> pa.Array:
+        out = []
+        for t, ps in zip(texts.to_pylist(), pieces.to_pylist()):
+            if ps is None:
+                out.append(None)
+                continue
+            spans = [m.span() for m in word.finditer(t)]
+            out.append(["\n".join(t[spans[r["first"]][0] : spans[r["first"] + r["words"] - 1][1]] for r in p) for p in ps])
+        return pa.array(out, pa.list_(pa.string()))
+
+    return cut(text, runs)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

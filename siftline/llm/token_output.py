@@ -2,8 +2,9 @@
 
 Layout: one row a document with doc_id, part (number of the file in order), row_in_part, start_in_part (ids before it in
 its file), n_tokens and ids. Files follow the order asked for (doc_id, unless a caller says otherwise); within one, rows
-are sorted, so row groups and the page index bound doc_id tightly. ids are dictionary encoded (16 bits an id for this vocabulary), other integers are delta encoded (format
-2 pages); row groups and pages are bounded by the parameters. Metadata reads touch no page of ids.
+are sorted, so row groups and the page index bound doc_id tightly. ids are dictionary encoded (16 bits an id for this
+vocabulary), other integers are delta encoded (format 2 pages); row groups and pages are bounded by the parameters.
+Metadata reads touch no page of ids.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,9 +60,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     x.write.options(**options).parquet(path)
 
 
-def as_stored() -> tuple:
-    """Order of write_tokens that keeps the rows of a stored table as they lie in its files, in the order of their names."""
-    return F.col("_metadata.file_name"), F.col("_metadata.row_index")
+def as_stored(docs: DataFrame) -> tuple:
+    """Order of write_tokens that keeps rows as they lie: in the files of a stored table, in the order of their names, or in
+    the partitions of any other."""
+    stored = F.col("_metadata.file_name"), F.col("_metadata.row_index")
+    try:
+        docs.select(*stored)
+    except AnalysisException:
+        return (F.monotonically_increasing_id(),)
+    return stored
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

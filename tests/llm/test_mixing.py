@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftline.llm.mixing import Recipe, mix, mixed_documents, op3_mixing, permuted, split_quotas, targets
+from siftline.llm.mixing import Recipe, Tree, hypergeometric, mix, mixed_documents, op3_mixing, permuted, targets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -18,17 +18,43 @@ def test_permutation(n):
 
 def test_tree_splits_quotas_exactly():
     q = np.array([1000, 0, 37, 5])
-    out = split_quotas(q, 7, 3)
+    out = Tree(q, 7, 3).leaves()
     assert (out.sum(axis=0) == q).all() and (out >= 0).all() and np.ptp(out.sum(axis=1)) <= 2
-    assert (out == split_quotas(q, 7, 3)).all()
+    assert (out == Tree(q, 7, 3).leaves()).all()
 
 
 def test_tree_follows_the_hypergeometric_law():
-    draws = np.array([split_quotas(np.array([30, 70]), 2, s)[0, 0] for s in range(2000)])
+    draws = np.array([Tree(np.array([30, 70]), 2, s).left(0, 2, np.array([30, 70]))[0] for s in range(2000)])
     assert abs(draws.mean() - 15) < 0.3 and abs(draws.var() - 50 * 0.3 * 0.7 * 50 / 99) < 0.6
 
 
+@pytest.mark.parametrize("good,bad,n", [(300_000_000, 900_000_000, 500_000_000), (900_000_000, 300_000_000, 700_000_000), (5, 2_000_000_000, 1_000_000_000)])
+def test_draws_from_many(good, bad, n):
+    rng, total = np.random.default_rng(5), good + bad
+    draws = np.array([hypergeometric(rng, good, bad, n) for _ in range(4000)], float)
+    mean, var = n * good / total, n * good / total * bad / total * (total - n) / (total - 1)
+    assert abs(draws.mean() - mean) < 4 * (var / 4000) ** 0.5 and 0.9 < draws.var() / var < 1.1
+    assert draws.min() >= 0 and draws.max() <= min(good, n)
+
+
+def brute_targets(sizes, weights, share=1.5, most=2):
+    """A source's excess is dealt again until none is above, one source at a time."""
+    fixed = {}
+    while True:
+        left = share * sum(sizes) - sum(fixed.values())
+        open_ = [k for k, n in enumerate(sizes) if n and k not in fixed]
+        goal = {k: left * weights[k] / sum(weights[j] for j in open_) for k in open_}
+        over = [k for k in open_ if goal[k] > most * sizes[k]]
+        if not over:
+            return [float(fixed.get(k, goal.get(k, 0.0))) for k in range(len(sizes))]
+        fixed |= {k: most * sizes[k] for k in over}
+
+
 def test_targets():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        sizes = (rng.random(6) ** 4 * 1000).astype(int).tolist()
+        assert targets(sizes, [3, 1, 2] * 2) == pytest.approx(brute_targets(sizes, [3, 1, 2] * 2))
     assert targets([100, 100], [3, 1]) == [200.0, 100.0]
     assert targets([10, 1000, 0], [3, 1, 2]) == [20.0, 1495.0, 0.0]
     assert targets([], []) == []
@@ -52,25 +78,49 @@ def test_words_taken_meet_targets(spark):
     by_target = defaultdict(int)
     for r in got:
         by_target[(r["source_size"], r["target"])] += r["taken"]
-        assert r["taken"] == sum(s["words"] for s in r["segments"])
+        assert r["taken"] == sum(s["words"] for s in r["pieces"])
     for s, g in zip(names, goal):
         assert abs(by_target[(size[s], g)] - g) <= 1
     again = mix(d.repartition(7), ["doc_id"], block=16, words_a_shard=3000).collect()
-    key = lambda r: (str(r["doc_id"]), r["size"], r["taken"], str(r["segments"]))
+    key = lambda r: (str(r["doc_id"]), r["size"], r["taken"], str(r["pieces"]))
     assert sorted(map(key, got)) == sorted(map(key, again))
 
 
-def test_segments_are_disjoint_and_follow_quotas(spark):
+def test_pieces_are_disjoint_and_follow_quotas(spark):
     got = mix(rows(spark), ["doc_id"], block=16, words_a_shard=3000).collect()
     for r in got:
-        for p in {s["pass"] for s in r["segments"]}:
-            spans = sorted((s["first"], s["first"] + s["words"]) for s in r["segments"] if s["pass"] == p)
+        for p in {s["pass"] for s in r["pieces"]}:
+            spans = sorted((x["first"], x["first"] + x["words"]) for s in r["pieces"] if s["pass"] == p for x in s["runs"])
             assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:])) and all(e <= r["size"] for _, e in spans)
     words = defaultdict(int)
     for r in got:
-        for s in r["segments"]:
-            words[s["shard"]] += s["words"]
-    assert len(words) > 10 and max(words.values()) < 1.3 * np.median(list(words.values()))
+        for s in r["pieces"]:
+            assert s["words"] == sum(x["words"] for x in s["runs"])
+            words[s["shard"], r["source_size"], r["target"]] += s["words"]
+    size = defaultdict(int)
+    for r in rows(spark).collect():
+        size[r["source"]] += len(WORD.findall(r["text"] or ""))
+    recipe = Recipe.of([(k, n, 0) for k, n in size.items()], (3, 1, 2), 1.5, 2, 16, 3000, 17)
+    leaves = recipe.tree.leaves()
+    assert len(leaves) > 10 and (leaves.sum(axis=0) == recipe.tree.quotas).all()
+    for shard, leaf in enumerate(leaves):  # of each source a shard has just its leaf's blocks; short ones are two a pass
+        for k, n in enumerate(leaf):
+            have = words[shard, recipe.sizes[k], recipe.targets[k]]
+            assert 16 * (n - 3) < have <= 16 * n or not n == have
+
+
+def test_written_shards_hold_their_quotas_and_part_repeats(spark, tmp_path):
+    d = spark.createDataFrame([(i, " ".join([f"w{i}"] * 16), "ab"[i % 2]) for i in range(3000)], "doc_id long, text string, source string")
+    mixed_documents(d, block=16, words_a_shard=6000).write.parquet(f"file://{tmp_path}/mix")
+    leaves = Recipe.of([("a", 24_000, 0), ("b", 24_000, 0)], (3, 1, 2), 1.5, 2, 16, 6000, 17).tree.leaves()
+    stored = spark.read.parquet(f"file://{tmp_path}/mix").select("*", "_metadata.file_name", "_metadata.row_index").orderBy("file_name", "row_index").collect()
+    counted = sorted(tuple(map(int, leaf)) for leaf in leaves)
+    files = defaultdict(list)
+    for r in stored:
+        files[r["file_name"]].append((r["doc_id"], r["source"]))
+    for f in files.values():
+        assert all(a[0] != b[0] for a, b in zip(f, f[1:]))
+    assert sum(map(len, files.values())) == sum(map(sum, counted)) == 72_000 // 16
 
 
 def test_texts_of_the_mix(spark):

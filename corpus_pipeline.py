@@ -2,8 +2,12 @@
 
 Five stages, each an operator of siftline.llm over all that the stage before it kept: quality rules (rejected documents
 go), near copies by SimHash (one document of each group stays), benchmark decontamination (documents with a window of any
-item go), the mix of sources to their target weights (a row for each document and pass, with the words taken), and token
-ids written as Parquet and read back.
+item go), the mix of sources to their target weights (a row for each document, pass and shard, with the words taken, in the
+shards' order), and token ids written as Parquet in that order and read back.
+
+Null texts, sources and ids, empty tables, repeated rows and extra columns have in each stage the result that its
+operator's docstring states; a row with a null doc_id is kept by all but the quality rules' and decontamination's verdict on
+its text.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from siftline.llm.mixing import mixed_documents
 from siftline.llm.quality_rules import kept_documents
 from siftline.llm.shared import land, shared_path, table
 from siftline.llm.simhash import without_near_copies
-from siftline.llm.token_output import token_digest, write_tokens
+from siftline.llm.token_output import as_stored, token_digest, write_tokens
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +40,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "pipeline-tokens")
-    write_tokens(docs, path, cached=80_000)  # beside the memory that earlier stages hold
+    write_tokens(docs, path, order=as_stored(docs))  # shards stay whole, and in the order that the mix gave them
     return token_digest(spark, path)
 
 

@@ -11,7 +11,6 @@ the source's permuted blocks, disjoint from other shards', and orders its blocks
 from __future__ import annotations
 
 import math
-import re
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -241,7 +240,8 @@ def _drawn(docs: DataFrame, columns: list[str], light: bool, weights, share, mos
         columns = [pa.array(np.array(r.sizes, np.int64)[k]), pa.array(np.array(r.targets, float)[k]), r.pieces(k, np.asarray(start), np.asarray(size))]
         return pa.StructArray.from_arrays(columns, ["source_size", "target", "pieces"])
 
-    return rows.select("doc", "size", draw("source", "start", "size").alias("drawn")).select("doc", "size", "drawn.*")
+    # Not to be pushed or run twice: each Python node of a plan has a worker of its own in every task.
+    return rows.select("doc", "size", draw.asNondeterministic()("source", "start", "size").alias("drawn")).select("doc", "size", "drawn.*")
 
 
 def mix(docs: DataFrame, columns: list[str], weights=WEIGHTS, share: float = SHARE, most: float = MOST, block: int = 1024, words_a_shard: int = 1 << 22, seed: int = 17) -> DataFrame:
@@ -265,7 +265,7 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     """
     drawn = _drawn(docs, docs.columns, False, weights, share, most, block, words_a_shard, seed)
     whole = (F.size("pieces") == F.array_size(F.filter("pieces", lambda p: p["words"] == F.col("size"))))
-    x = drawn.where(F.size("pieces") > 0).withColumn("cut", F.when(~whole, _cut(F.when(~whole, F.col("doc.text")), F.when(~whole, F.transform("pieces", lambda p: p["runs"])))))
+    x = drawn.where(F.size("pieces") > 0).withColumn("cut", F.when(~whole, _cut(F.col("doc.text").cast("string"), F.col("pieces"))))
     rest = [c for c in docs.columns if c != "text"]
     kept = F.struct(*(F.col(f"doc.`{c}`").alias(c) for c in rest)).alias("doc")
     text = F.when(whole, F.col("doc.text").cast("string"))
@@ -276,22 +276,12 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     return x.select(*(F.col("text") if c == "text" else chars[c].alias(c) if c in chars else F.col(f"doc.`{c}`").alias(c) for c in docs.columns))
 
 
-def _cut(text, runs):
-    """Of each text the parts that lists of runs of words take, an array of texts."""
-    word = re.compile(r"[^ \t-\r]+")
-
-    @F.arrow_udf("array<string>")
-    def cut(texts: pa.Array, pieces: pa.Array) -> pa.Array:
-        out = []
-        for t, ps in zip(texts.to_pylist(), pieces.to_pylist()):
-            if ps is None:
-                out.append(None)
-                continue
-            spans = [m.span() for m in word.finditer(t)]
-            out.append(["\n".join(t[spans[r["first"]][0] : spans[r["first"] + r["words"] - 1][1]] for r in p) for p in ps])
-        return pa.array(out, pa.list_(pa.string()))
-
-    return cut(text, runs)
+def _cut(text, pieces):
+    """Of a text the parts that pieces take, an array of texts; runs of a piece that aren't neighbours stand on lines of their own."""
+    part = lambda words, r: F.regexp_replace(F.array_join(F.slice(words, (r["first"] + 1).cast("int"), r["words"].cast("int")), ""), r"[\x20\x09-\x0D]+$", "")
+    cut = lambda words: F.transform(pieces, lambda p: F.array_join(F.transform(p["runs"], lambda r: part(words, r)), "\n"))
+    words = F.regexp_extract_all(text, F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    return F.transform(F.array(words), cut)[0]  # the words are found once, not for each piece
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

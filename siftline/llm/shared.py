@@ -176,7 +176,8 @@ def release() -> None:
 
 
 def pieces(batches, text: str, most: int = 512 << 10):
-    """Record batches again, each with about `most` bytes of text or one row, so that what NumPy needs stays bounded."""
+    """Record batches again, each with about `most` bytes of text or one row, so that what NumPy needs stays bounded. At the
+    end of the task freed memory goes back to the system."""
     for batch in batches:
         _, offsets = utf8(batch.column(batch.schema.get_field_index(text)))
         at = 0
@@ -184,3 +185,4 @@ def pieces(batches, text: str, most: int = 512 << 10):
             end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
             yield batch.slice(at, end - at)
             at = end
+    release()

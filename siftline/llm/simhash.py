@@ -25,7 +25,7 @@ RADIUS = 4
 SHINGLE = 4
 SEED = 42
 #: Fingerprints of a bucket that one task compares; larger buckets are split into pairs of parts.
-HOT = 16384
+HOT = 2048
 ONES = np.uint64(2**64 - 1)
 
 
@@ -213,7 +213,8 @@ def near_links(dealt: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFr
     pairs of parts, compared by tasks of their own.
     """
     columns = [c for c in ("node", "bits") if c in dealt.columns]
-    counted = land(dealt.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("tab", "key"))).where("n > 1"), "simhash-buckets")
+    counts = dealt.groupBy("tab", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    counted = land(dealt.join(counts, ["tab", "key"]), "simhash-buckets")
     parts = F.ceil(F.col("n") / hot).cast("int")
     own = F.pmod(F.xxhash64(F.lit(1), "node"), parts).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.struct(F.least(p, F.col("own")).alias("pa"), F.greatest(p, F.col("own")).alias("pb")))

@@ -4,8 +4,8 @@ Each task cuts its documents into shards of a few MB and makes a suffix array of
 whose first words can match at all (runs of words that the benchmark has), sorted by as many words as a window has. Every
 test suffix is binary-searched in every shard; the equal range gives all places of its window. Windows that follow one
 another on a diagonal join to the longest verbatim matches, with their places. The benchmark goes to the tasks in blocks
-of a bounded number of words, one after the other over the same rows, so that no broadcast grows with it and no document
-is shuffled.
+of a bounded number of words, one after the other: the driver and each executor hold one block, and what each block found
+is written before the next. No document is shuffled.
 
 Words are told apart by 64-bit multilinear hashes of their bytes: two different words of a benchmark of a million words
 and of a corpus of 10**13 meet with a chance under 10**-5 a word of the benchmark.
@@ -14,16 +14,21 @@ and of a corpus of 10**13 meet with a chance under 10**-5 a word of the benchmar
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from .shared import ALNUM, fresh, pieces, schema_of, split_words, table, text_of, utf8, word_hashes
+from .shared import ALNUM, land, pieces, schema_of, split_words, table, text_of, utf8, word_hashes
 
 WINDOW = 8
+#: A word of any case, as Spark's expressions read it; ALNUM says the same of bytes.
+ALNUM_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Words of the benchmark in one block; an item of more is a block of its own.
 BLOCK_WORDS = 1_000_000
 #: A document with windows of so many items is contaminated.
@@ -120,18 +125,18 @@ class Block:
         return firsts, *self.find(numbers, left)
 
 
-def blocks_of(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> list[Block]:
-    """The benchmark's distinct rows in blocks. A null item_id counts as an item with an empty id; items without words have
-    no window."""
-    rows, size, out = [], 0, []
-    for item, text in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), text_of("text")).distinct().toLocalIterator():
-        n = len(text) // 2 + 1
-        if rows and size + n > block_words:
-            out.append(Block.of(sorted(rows), window))
-            rows, size = [], 0
-        rows.append((item, text))
-        size += n
-    return [*out, Block.of(sorted(rows), window)]
+def blocks_of(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[tuple[int, Block]]:
+    """How many blocks the benchmark's distinct rows make, and each of them: the driver holds one at a time. Rows are dealt
+    to blocks by hash, so that a block has about block_words words or fewer; an item of more is in a block whole. A null
+    item_id counts as an item with an empty id; items without words have no window."""
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), text_of("text").alias("text")).distinct()
+    words = rows.agg(F.sum(F.floor(F.length("text") / 2) + 1)).first()[0] or 0  # at most so many words
+    n = max(1, -(-words * 5 // (block_words * 4)))
+    if n > 1:
+        rows = land(rows.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n))).repartition(min(n, 200), "block"), "benchmark")
+    for k in range(n):
+        mine = (rows if n == 1 else rows.where(F.col("block") == k)).select("item", "text").collect()
+        yield n, Block.of(sorted(map(tuple, mine)), window)
 
 
 def _hits(block: Block, array) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
@@ -151,56 +156,89 @@ def _hits(block: Block, array) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
 DIGEST = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
-def _scan(shared, text: str, state: list[str], first: bool, last: bool, min_items: int, drop: bool):
+def _digest(items: list[set[str]], min_items: int) -> list[pa.Array]:
+    shown = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
+    return [pa.array([len(x) for x in items], pa.int64()), pa.array(shown, pa.string()), pa.array([len(x) >= min_items for x in items], pa.bool_())]
+
+
+def _scan(shared, text: str, min_items: int, drop: bool):
+    """Of rows with a text either those of few items, or all with DIGEST instead of the text."""
+
     def run(batches):
-        block = shared.value
         for batch in pieces(batches, text):
             names, columns = batch.schema.names, batch.columns
-            firsts, hit, items = _hits(block, columns[names.index(text)])
-            if not first:
-                for k, (bits, more) in enumerate(zip(columns[-2].to_pylist(), columns[-1].to_pylist())):
-                    a, b = firsts[k], firsts[k + 1]
-                    hit[a:b] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
-                    items[k] |= set(more)
-                names, columns = names[:-2], columns[:-2]
-            if not last:
-                bits = [np.packbits(hit[a:b]).tobytes() for a, b in zip(firsts, firsts[1:])]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(bits, pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], [*names, *state])
-                continue
+            firsts, hit, items = _hits(shared.value, columns[names.index(text)])
             if drop:
-                yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array([len(x) < min_items for x in items], pa.bool_()))
+                yield batch.filter(pa.array([len(x) < min_items for x in items], pa.bool_()))
                 continue
             total = np.concatenate([[0], np.cumsum(hit)])
-            shown = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
-            out = [pa.array(np.diff(firsts)), pa.array(total[firsts[1:]] - total[firsts[:-1]]), pa.array([len(x) for x in items], pa.int64()), pa.array(shown, pa.string()), pa.array([len(x) >= min_items for x in items], pa.bool_())]
+            out = [pa.array(np.diff(firsts)), pa.array(total[firsts[1:]] - total[firsts[:-1]]), *_digest(items, min_items)]
             yield pa.RecordBatch.from_arrays([*(c for c, n in zip(columns, names) if n != text), *out], [*(n for n in names if n != text), *(x.split()[0] for x in DIGEST.split(", "))])
 
     return run
 
 
-def _through(docs: DataFrame, blocks: list[Block], text: str, min_items: int, drop: bool) -> DataFrame:
-    x, sc, fields = docs, docs.sparkSession.sparkContext, docs.schema.fields
-    state = [fresh(docs, "_hit"), fresh(docs, "_items")]
-    for k, block in enumerate(blocks):
-        last = k == len(blocks) - 1
-        schema = (docs.schema if drop else schema_of([f for f in fields if f.name != text], DIGEST)) if last else schema_of(fields, f"`{state[0]}` binary, `{state[1]}` array<string>")
-        x = x.mapInArrow(_scan(sc.broadcast(block), text, state, not k, last, min_items, drop), schema)
-    return x
+def _found(shared):
+    """row, bits (one for each word) and items of the rows (row, text) that have a window of the block."""
+
+    def run(batches):
+        for batch in pieces(batches, "text"):
+            firsts, hit, items = _hits(shared.value, batch.column(1))
+            rows = [k for k, x in enumerate(items) if x]
+            bits = [np.packbits(hit[firsts[k] : firsts[k + 1]]).tobytes() for k in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(bits, pa.binary()), pa.array([sorted(items[k]) for k in rows], pa.list_(pa.string()))], ["row", "bits", "items"])
+
+    return run
+
+
+@F.arrow_udf(LongType())
+def _either(bits: pa.Array) -> pa.Array:
+    """How many bits are set in any of a row's bit strings, which are of one length."""
+    return pa.array([int(np.unpackbits(np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in x])).sum()) for x in bits.to_pylist()], pa.int64())
+
+
+def _by_blocks(docs: DataFrame, block: Block, more: Iterator[tuple[int, Block]]) -> tuple[DataFrame, DataFrame]:
+    """rows (row, doc: a struct of docs' columns, n_words) and found (row, n_hit, items of all blocks)."""
+    doc = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    text = text_of("text")
+    rows = land(docs.select(F.monotonically_increasing_id().alias("row"), doc.alias("doc"), text.alias("text"), F.size(F.regexp_extract_all(text, F.lit(ALNUM_WORD), F.lit(0))).cast("long").alias("n_words")), "decontamination-rows")
+    sc, found = docs.sparkSession.sparkContext, None
+    for b in chain([block], (b for _, b in more)):
+        shared = sc.broadcast(b)
+        one = land(rows.select("row", "text").mapInArrow(_found(shared), "row long, bits binary, items array<string>"), "decontamination-found")
+        shared.destroy()
+        found = one if found is None else found.unionByName(one)
+    found = found.groupBy("row").agg(F.collect_list("bits").alias("bits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))  # of a row as many as there are blocks
+    return rows, found.select("row", _either("bits").alias("n_hit"), "items")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_items: int = MIN_ITEMS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of docs (doc_id, text).
 
     A null or empty text has no words and no items, like every text if the benchmark is empty. Repeated rows of docs stay;
-    of the benchmark they count once. Other columns are ignored.
+    of the benchmark they count once. Other columns are ignored. A benchmark of several blocks takes a pass over the
+    texts for each, and a table of what each found.
     """
-    x = docs.select("doc_id", text_of("text").alias("text"))
-    return _through(x, blocks_of(benchmark, window, block_words), "text", min_items, False)
+    blocks = blocks_of(benchmark, window, block_words)
+    n, block = next(blocks)
+    if n == 1:
+        x = docs.select("doc_id", text_of("text").alias("text"))
+        return x.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(block), "text", min_items, False), schema_of([x.schema["doc_id"]], DIGEST))
+    rows, found = _by_blocks(docs.select("doc_id", "text"), block, blocks)
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    x = rows.drop("text").join(found, "row", "left").select(F.col("doc.doc_id").alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"))
+    return x.withColumn("contaminated", F.col("n_items") >= min_items)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_items: int = MIN_ITEMS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of docs, all columns as they are, that have windows of fewer than min_items items."""
-    return _through(docs, blocks_of(benchmark, window, block_words), "text", min_items, True)
+    """The rows of docs, all columns as they are, that have windows of fewer than min_items items. Edge cases are those of
+    contamination."""
+    blocks = blocks_of(benchmark, window, block_words)
+    n, block = next(blocks)
+    if n == 1:
+        return docs.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(block), "text", min_items, True), docs.schema)
+    rows, found = _by_blocks(docs, block, blocks)
+    return rows.join(found.where(F.size("items") >= min_items), "row", "left_anti").select("doc.*")
 
 
 MATCH = "doc_id long, item_id string, doc_word long, item_word long, n_words long"
@@ -230,10 +268,15 @@ def _longest(shared):
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Every longest verbatim match of at least a window: doc_id, item_id, first word in either, and its words."""
+    """Every longest verbatim match of at least a window: doc_id, item_id, first word in either, and its words. Edge cases are
+    those of contamination; a repeated row has its matches as often."""
     x, sc, out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text")), docs.sparkSession.sparkContext, None
-    for block in blocks_of(benchmark, window, block_words):
-        found = x.mapInArrow(_longest(sc.broadcast(block)), MATCH)
+    for n, block in blocks_of(benchmark, window, block_words):
+        shared = sc.broadcast(block)
+        found = x.mapInArrow(_longest(shared), MATCH)
+        if n > 1:
+            found = land(found, "decontamination-matches")
+            shared.destroy()
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import landed
+
 DOCUMENT = "doc_id long, url string, title string, content string, content_type string, content_hash string, version int"
 
 
@@ -12,37 +14,48 @@ def content_hash(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
-def detect(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """incoming (url, title, content, content_type) with change_type, doc_id (null if created), version and content_hash.
+def detect(existing: DataFrame, incoming: DataFrame, arrival: str | None = None) -> DataFrame:
+    """incoming (url, title, content, content_type) with change_type, doc_id (null if created), version, content_hash and
+    arrival.
 
-    By url and hash of the content: a new title alone changes nothing, and the stored one stays.
+    By url and hash of the content: a new title alone changes nothing, and the stored one stays. A url that comes several
+    times is compared each time with what came before, in the order of the column arrival (else in that of the rows).
     """
     old = existing.select("url", "doc_id", F.col("title").alias("_title"), F.col("content_hash").alias("_hash"), F.col("version").alias("_version"))
-    x = incoming.withColumn("content_hash", content_hash(F.col("content"))).join(old, "url", "left")
-    kind = F.when(F.col("_hash").isNull(), "created").when(F.col("_hash") == F.col("content_hash"), "unchanged").otherwise("updated")
-    x = x.withColumn("change_type", kind)
-    version = F.when(F.col("change_type") == "created", 1).when(F.col("change_type") == "updated", F.col("_version") + 1).otherwise(F.col("_version"))
-    title = F.when(F.col("change_type") == "unchanged", F.col("_title")).otherwise(F.col("title"))
-    return x.select("url", "doc_id", title.alias("title"), "content", "content_type", "content_hash", version.cast("int").alias("version"), "change_type")
+    at = F.monotonically_increasing_id() if arrival is None else F.col(arrival)
+    x = incoming.select("url", "title", "content", "content_type", at.alias("arrival")).withColumn("content_hash", content_hash(F.col("content"))).join(old, "url", "left")
+    w = Window.partitionBy("url").orderBy("arrival", "content_hash")
+    before = F.coalesce(F.lag("content_hash").over(w), F.col("_hash"))
+    x = x.withColumn("change_type", F.when(before.isNull(), "created").when(before == F.col("content_hash"), "unchanged").otherwise("updated"))
+    changed = F.col("change_type") != "unchanged"
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    version = F.coalesce("_version", F.lit(0)) + F.sum(changed.cast("int")).over(so_far)
+    title = F.when(changed, F.col("title")).otherwise(F.coalesce(F.last(F.when(changed, F.struct("title")), True).over(so_far)["title"], F.col("_title")))
+    return x.select("url", "doc_id", title.alias("title"), "content", "content_type", "content_hash", version.cast("int").alias("version"), "change_type", "arrival")
 
 
 def upserted(existing: DataFrame, detected: DataFrame, next_id: int) -> DataFrame:
     """The documents after the changes; created ones get ids from next_id in the order of their urls.
 
-    Ids are dealt by ranges of url, with no single task over all created rows.
+    A url's last change is what stays. Ids are dealt by ranges of url, with no single task over all created rows: the ranges
+    are written once, and a row for each of them, with its rows, says where it begins.
     """
     keys = [c.split()[0] for c in DOCUMENT.split(", ")]
-    changed = detected.where("change_type <> 'unchanged'")
-    made = changed.where("change_type = 'created'").drop("doc_id")
-    ordered = made.select("url").repartitionByRange("url").sortWithinPartitions("url").withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = {r["_part"]: r["n"] for r in ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each partition
-    base, total = {}, next_id
-    for p in sorted(sizes):
-        base[p], total = total, total + sizes[p]
-    start = F.element_at(F.create_map(*(F.lit(x) for kv in base.items() for x in kv)), F.col("_part")) if base else F.lit(next_id)
-    named = made.join(ordered.select("url", (start + F.col("_in")).cast("long").alias("doc_id")), "url")
-    rest = existing.join(changed.select("url"), "url", "left_anti")
-    return rest.select(*keys).unionByName(changed.where("change_type = 'updated'").select(*keys)).unionByName(named.select(*keys))
+    rest = [k for k in keys if k not in ("url", "doc_id")]
+    last = detected.where("change_type <> 'unchanged'").groupBy("url").agg(F.max("doc_id").alias("doc_id"), F.max_by(F.struct(*rest), F.struct("arrival", "version")).alias("r")).select("url", "doc_id", "r.*")
+    last = landed(last, "upsert-changes")
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ordered = landed(last.where("doc_id IS NULL").select("url").repartitionByRange("url").sortWithinPartitions("url").select("url", F.spark_partition_id().alias("part"), within.alias("at")), "upsert-order")
+    starts = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    starts = starts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))  # a row for each partition
+    named = ordered.join(F.broadcast(starts), "part").select("url", (F.lit(next_id) + F.col("start") + F.col("at")).cast("long").alias("_id"))
+    new = last.join(named, "url", "left").withColumn("doc_id", F.coalesce("doc_id", "_id"))
+    return existing.join(last.select("url"), "url", "left_anti").select(*keys).unionByName(new.select(*keys))
+
+
+def by_url(documents: DataFrame, url: str) -> DataFrame:
+    """The document of a url, of which there is one; the predicate reaches the scan."""
+    return documents.where(F.col("url") == url).limit(1)
 
 
 def change_events(detected: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pages as P
 from ..functions import urls as U
+from ..sources.shared import landed, shared_path
 
 FRONTIER = "crawl_session_id long, url string, depth int, status string, attempts int, last_error string"
 ERROR_CHARS = 2000
@@ -20,37 +21,39 @@ def link_edges(pages: DataFrame) -> DataFrame:
 
 
 def breadth_first(edges: DataFrame, start_url: str, max_pages: int = 10, max_depth: int | None = None, fetched: DataFrame | None = None, count_failures: bool = True) -> DataFrame:
-    """url, depth, place of the pages that a crawl from start_url visits, in its order.
+    """url, depth, place of the pages that a crawl from start_url visits; by depth and place they are in its order.
 
-    One join a level; the driver holds a level's size and never its rows. fetched: the pages that can be had (url); others
-    count towards max_pages if count_failures, and have no row. max_pages bounds the result, as in any crawl.
+    One join a level, which is written to the shared folder, so that neither plans nor memory grow with the levels; the
+    driver holds a level's size and never its rows. fetched: the pages that can be had (url); others count towards
+    max_pages if count_failures, and have no row. max_pages bounds the result, as in any crawl.
     """
     if max_pages <= 0 or max_depth is not None and max_depth < 0:
         raise ValueError("max_pages is to be positive and max_depth not negative")
     spark = edges.sparkSession
-    start = start_url.strip().split("#")[0]
-    level = spark.createDataFrame([(start, 0, 0)], "url string, depth int, place long")
-    seen, known = level, None if fetched is None else fetched.select(U.without_fragment(F.col("url")).alias("url")).distinct()
-    depth, room = 0, max_pages
-    while room > 0:
-        if known is None:
-            got = level.withColumn("ok", F.lit(True))
-        else:
-            got = level.join(known.withColumn("_have", F.lit(True)), "url", "left").withColumn("ok", F.coalesce("_have", F.lit(False))).drop("_have")
-        taken = got.orderBy("place").limit(room) if count_failures else got.where("ok").orderBy("place").limit(room)
-        taken = taken.persist()
-        n = taken.count()
-        out = taken.where("ok").select("url", "depth", "place") if depth == 0 else out.unionByName(taken.where("ok").select("url", "depth", "place"))
+    root = shared_path(spark, "crawl")
+    schema = "url string, place long, ok boolean, depth int"
+    level = spark.createDataFrame([(start_url.strip().split("#")[0], 0)], "url string, place long")
+    known = None if fetched is None else landed(fetched.select(U.without_fragment(F.col("url")).alias("url")).distinct().withColumn("_have", F.lit(True)), "crawl-fetched")
+    queue = lambda: spark.read.schema(schema).parquet(root)
+    depth, room, cut = 0, max_pages, None
+    while True:
+        marked = level.withColumn("ok", F.lit(True)) if known is None else level.join(known, "url", "left").select("url", "place", F.coalesce("_have", F.lit(False)).alias("ok"))
+        marked.select("url", "place", "ok").write.parquet(f"{root}/depth={depth}")
+        here = queue().where(F.col("depth") == depth)
+        counted = here if count_failures else here.where("ok")
+        n = counted.count()
+        if n > room:
+            cut = counted.orderBy("place").limit(room)
         room -= n
-        if not n or max_depth is not None and depth >= max_depth:
+        if not n or room <= 0 or max_depth is not None and depth >= max_depth:
             break
-        found = taken.where("ok").select(F.col("url").alias("src"), F.col("place").alias("_from")).join(edges, "src")
-        first = found.groupBy("dst").agg(F.min(F.struct("_from", "place")).alias("at")).withColumnRenamed("dst", "url").join(seen.select("url"), "url", "left_anti")
+        found = here.where("ok").select(F.col("url").alias("src"), F.col("place").alias("_from")).join(edges, "src")
+        first = found.groupBy(F.col("dst").alias("url")).agg(F.min(F.struct("_from", "place")).alias("at")).join(queue().select("url"), "url", "left_anti")
+        # Ranges of places, sorted: ids by partition and row then keep the order, and no task has a whole level.
+        level = first.repartitionByRange("at").sortWithinPartitions("at").select("url", F.monotonically_increasing_id().alias("place"))
         depth += 1
-        # Places within a level: a level is what one crawl step queues, max_pages of which can be visited at most.
-        level = first.orderBy("at").limit(room if count_failures or known is None else 2**31 - 1).select("url", F.lit(depth).alias("depth"), F.row_number().over(Window.orderBy("at")).cast("long").alias("place")).persist()
-        seen = seen.unionByName(level)
-    return out
+    out = queue().where("ok") if cut is None else queue().where("ok").where(F.col("depth") < depth).unionByName(cut.where("ok"))
+    return out.select("url", "depth", "place")
 
 
 def enqueued(frontier: DataFrame, urls: DataFrame) -> DataFrame:

@@ -15,21 +15,32 @@ POSTING = ("shard_id", "term", "doc_id", "tf", "positions")
 
 @dataclass
 class Index:
-    """postings(shard_id, term, doc_id, tf, positions), docs(shard_id, doc_id, doc_len), vectors(shard_id, doc_id, embedding)."""
+    """postings(shard_id, term, doc_id, tf, positions), docs(shard_id, doc_id, doc_len), vectors(shard_id, doc_id, embedding),
+    and, of an index that isn't stored, analysed(shard_id, doc_id, terms), which it is computed from; gone(doc_id) are
+    documents of earlier segments that a stored segment removes."""
 
     postings: DataFrame
     docs: DataFrame
     vectors: DataFrame | None = None
+    analysed: DataFrame | None = None
+    gone: DataFrame | None = None
+
+    def __setattr__(self, name, value):
+        object.__setattr__(self, name, value)
+        if name in ("postings", "docs"):  # other tables than those made from the documents
+            object.__setattr__(self, "analysed", None)
 
     def shards(self) -> DataFrame:
         """shard_id, n_docs, total_len, avg_len; documents without terms count."""
         return self.docs.groupBy("shard_id").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("doc_len").alias("total_len")).withColumn("avg_len", F.col("total_len") / F.col("n_docs"))
 
     def document_frequency(self) -> DataFrame:
+        if self.analysed is not None:  # positions aren't needed
+            return self.analysed.select(F.explode(F.array_distinct("terms")).alias("term")).where("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         return self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
     def vocabulary_size(self) -> DataFrame:
-        return self.postings.agg(F.countDistinct("term").alias("n_terms"))
+        return self.document_frequency().agg(F.count(F.lit(1)).alias("n_terms"))
 
     def contains(self, doc_ids: DataFrame) -> DataFrame:
         return doc_ids.join(self.docs.select("doc_id"), "doc_id", "left_semi")
@@ -41,14 +52,26 @@ def with_terms(docs: DataFrame, text: Column, stems: bool = False, normalise: bo
     return docs.select((F.lit("shard-0") if shard is None else shard).alias("shard_id"), "doc_id", found.alias("terms"))
 
 
+def _postings(terms: Column) -> Column:
+    """An array of (term, positions) of one document's terms: sorted once, then cut where the term changes."""
+    entries = F.sort_array(F.filter(F.transform(terms, lambda t, k: F.struct(t.alias("term"), k.alias("position"))), lambda e: e["term"] != ""))
+
+    def cut(e):
+        starts = F.filter(F.sequence(F.lit(0), F.size(e) - 1), lambda k: (k == 0) | (e[k]["term"] != e[F.greatest(k - 1, F.lit(0))]["term"]))
+        ends = lambda s: F.transform(s, lambda k, n: F.struct(k.alias("a"), F.coalesce(F.get(s, n + 1), F.size(e)).alias("b")))
+        spans = F.transform(F.array(starts), ends)[0]
+        return F.transform(spans, lambda p: F.struct(e[p["a"]]["term"].alias("term"), F.transform(F.slice(e, p["a"] + 1, p["b"] - p["a"]), lambda x: x["position"]).alias("positions")))
+
+    return F.when(F.size(terms) > 0, F.transform(F.array(entries), lambda e: F.when(F.size(e) > 0, cut(e)))[0])  # entries are computed once
+
+
 def build(docs: DataFrame, text: Column, stems: bool = False, normalise: bool = True, shard: Column | None = None) -> Index:
-    """Index of docs (doc_id and what text and shard refer to): statistics without a shuffle, postings with one, linear in
-    the words. Partial aggregation keeps a frequent term from being one task's burden: its postings differ by doc_id."""
+    """Index of docs (doc_id and what text and shard refer to), without a shuffle: all postings of a document are made from
+    its own row, in the time that sorting its terms takes."""
     analysed = with_terms(docs, text, stems, normalise, shard)
-    exploded = analysed.select("shard_id", "doc_id", F.posexplode("terms").alias("position", "term")).where("term <> ''")
-    postings = exploded.groupBy("shard_id", "term", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
-    stats = analysed.select("shard_id", "doc_id", F.size("terms").alias("doc_len"))
-    return Index(postings.select(*POSTING), stats)
+    postings = analysed.select("shard_id", "doc_id", F.explode(_postings(F.col("terms"))).alias("p"))
+    postings = postings.select("shard_id", "p.term", "doc_id", F.size("p.positions").alias("tf"), "p.positions")
+    return Index(postings.select(*POSTING), analysed.select("shard_id", "doc_id", F.size("terms").alias("doc_len")), analysed=analysed)
 
 
 def removed(index: Index, doc_ids: DataFrame) -> Index:

@@ -26,9 +26,25 @@ def matching(index: Index, terms: list[str]) -> DataFrame:
     return index.postings.where(F.col("term").isin(*sorted(set(terms)))) if terms else index.postings.where(F.lit(False))
 
 
+def counted(index: Index, terms: list[str]) -> DataFrame:
+    """shard_id, term, doc_id, tf, doc_len of the query's terms. Of stored postings those of the terms are read; of an index that is
+    computed from its documents the terms are counted in each row, without making other postings."""
+    if index.analysed is None:
+        return matching(index, terms).select("shard_id", "term", "doc_id", "tf").join(index.docs, ["shard_id", "doc_id"])
+    wanted = sorted(set(terms))
+    if not wanted:
+        return index.analysed.select("shard_id", F.lit("").alias("term"), "doc_id", F.lit(0).alias("tf"), F.lit(0).alias("doc_len")).where(F.lit(False))
+    times = lambda t: F.size(F.filter("found", lambda x: x == t))
+    each = F.array(*(F.struct(F.lit(t).alias("term"), times(t).alias("tf")) for t in wanted))
+    x = index.analysed.select("shard_id", "doc_id", F.size("terms").alias("doc_len"), F.filter("terms", lambda t: t.isin(*wanted)).alias("found"))
+    return x.where(F.size("found") > 0).select("shard_id", "doc_id", "doc_len", F.explode(each).alias("t")).select("shard_id", "t.term", "doc_id", "t.tf", "doc_len").where("tf > 0")
+
+
 def candidates(index: Index, terms: list[str]) -> DataFrame:
     """doc_id of the documents that have any of the terms."""
-    return matching(index, terms).select("doc_id").distinct()
+    if index.analysed is None or not terms:
+        return matching(index, terms).select("doc_id").distinct()
+    return index.analysed.where(F.arrays_overlap("terms", F.array(*map(F.lit, sorted(set(terms)))))).select("doc_id").distinct()
 
 
 def bm25(index: Index, terms: list[str], scope: str = "global", k1: float = K1, b: float = B) -> DataFrame:
@@ -38,15 +54,15 @@ def bm25(index: Index, terms: list[str], scope: str = "global", k1: float = K1,
     """
     if scope not in ("global", "shard"):
         raise ValueError(f"unknown scope: {scope}")
-    hits = matching(index, terms)
+    hits = counted(index, terms)
     own = ["shard_id"] if scope == "shard" else []
     stats = index.docs.groupBy(*own).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len"))
     # One row for each query term (and shard): small by the query's length, not by the corpus.
     frequency = hits.groupBy(*own, "term").agg(F.count(F.lit(1)).alias("df"))
     times = F.coalesce(*(F.when(F.col("term") == t, F.lit(float(n))) for t, n in Counter(terms).items()), F.lit(0.0)) if terms else F.lit(0.0)
     frequency = (frequency.join(stats, "shard_id") if own else frequency.join(F.broadcast(stats))).where("avg_len > 0").withColumn("factor", idf(F.col("n_docs"), F.col("df")) * times)
-    scored = hits.select("shard_id", "term", "doc_id", "tf").join(F.broadcast(frequency), [*own, "term"])  # at most terms x shards rows
-    scored = scored.join(index.docs, ["shard_id", "doc_id"]).withColumn("w", F.col("factor") * weight(F.col("tf"), F.col("doc_len"), F.col("avg_len"), k1, b))
+    scored = hits.join(F.broadcast(frequency), [*own, "term"])  # at most terms x shards rows
+    scored = scored.withColumn("w", F.col("factor") * weight(F.col("tf"), F.col("doc_len"), F.col("avg_len"), k1, b))
     return scored.groupBy("shard_id", "doc_id").agg(F.sum("w").alias("score"))
 
 

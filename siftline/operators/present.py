@@ -13,8 +13,11 @@ def with_metadata(results: DataFrame, documents: DataFrame, query: str) -> DataF
 
     results are a page of top-k rows, of the size that was asked for; documents are the large side and only scanned.
     """
-    x = F.broadcast(results).join(documents.select("doc_id", "title", "url", "content"), "doc_id", "left")
-    return x.select("doc_id", "score", "title", "url", F.when(F.col("content").isNotNull(), T.snippet(F.col("content"), query)).alias("snippet"))
+    page = results.select("doc_id", "score")
+    found = documents.select("doc_id", "title", "url", "content").join(F.broadcast(page.select("doc_id")), "doc_id", "left_semi")
+    found = found.select("doc_id", "title", "url", T.snippet(F.col("content"), query).alias("snippet"), F.lit(True).alias("_found"))
+    x = page.join(found, "doc_id", "left")  # two small sides by now
+    return x.select("doc_id", "score", "title", "url", F.when(F.col("_found"), F.col("snippet")).alias("snippet"))
 
 
 def as_json(results: DataFrame) -> DataFrame:

@@ -256,9 +256,9 @@ def fusion_weights(spark, sf):
     return scored(hybrid.fused(*_lex_sem(spark, sf), 0.8, 0.2))
 
 
-@query("fusion_equal_scores", f"WITH {COSINE}, lex AS (SELECT doc_id, 4.0::DOUBLE AS score FROM documents WHERE doc_id < 5), sem AS (SELECT * FROM cos), {fused_sql()} {top_sql('fused', 20)}")
+@query("fusion_equal_scores", f"WITH {COSINE}, lex AS (SELECT doc_id, 4.0::DOUBLE AS score FROM documents), sem AS (SELECT * FROM cos), {fused_sql()} {top_sql('fused', 20)}")
 def fusion_equal_scores(spark, sf):
-    flat = documents(spark, sf).where("doc_id < 5").select("doc_id", F.lit(4.0).alias("score"))
+    flat = documents(spark, sf).select("doc_id", F.lit(4.0).alias("score"))
     return best(hybrid.fused(flat, _lex_sem(spark, sf)[1]), 20)
 
 
@@ -319,9 +319,9 @@ def candidate_window_policy(spark, sf):
 _STATUS = "CASE event_type WHEN 'error' THEN CASE WHEN user_id % 2 = 0 THEN 'timed_out' ELSE 'failed' END ELSE 'ok' END"
 
 
-@query("shard_status_summary", f"WITH s AS (SELECT user_id AS shard_id, max(CASE {_STATUS} WHEN 'timed_out' THEN 2 WHEN 'failed' THEN 1 ELSE 0 END) AS w FROM events WHERE event_id < 200 GROUP BY 1) SELECT count(*) AS total_shards, count(*) FILTER (w = 0) AS successful_shards, count(*) FILTER (w = 1) AS failed_shards, count(*) FILTER (w = 2) AS timed_out_shards, bool_or(w > 0) AS partial FROM s")
+@query("shard_status_summary", f"WITH s AS (SELECT user_id AS shard_id, max(CASE {_STATUS} WHEN 'timed_out' THEN 2 WHEN 'failed' THEN 1 ELSE 0 END) AS w FROM events GROUP BY 1) SELECT count(*) AS total_shards, count(*) FILTER (w = 0) AS successful_shards, count(*) FILTER (w = 1) AS failed_shards, count(*) FILTER (w = 2) AS timed_out_shards, bool_or(w > 0) AS partial FROM s")
 def shard_status_summary(spark, sf):
-    return shard_summary(read(spark, sf, "events").where("event_id < 200").select(F.col("user_id").alias("shard_id"), F.lit("lexical").alias("source"), F.expr(_STATUS).alias("status")))
+    return shard_summary(read(spark, sf, "events").select(F.col("user_id").alias("shard_id"), F.lit("lexical").alias("source"), F.expr(_STATUS).alias("status")))
 
 
 @query(
@@ -568,9 +568,11 @@ def _edges(spark, sf):
     return read(spark, sf, "pages").select("page_id", F.posexplode(F.array(F.col("page_id") * 2 + 1, F.col("page_id") * 3 + 2, F.floor(F.col("page_id") / 2))).alias("place", "to")).select(F.col("page_id").cast("string").alias("src"), F.col("to").cast("string").alias("dst"), "place")
 
 
-@query("crawl_bfs_depth", "WITH RECURSIVE e AS (SELECT page_id AS a, unnest([page_id * 2 + 1, page_id * 3 + 2, page_id // 2]) AS b FROM pages), r AS (SELECT 0::BIGINT AS n, 0 AS d UNION SELECT e.b, r.d + 1 FROM r JOIN e ON e.a = r.n WHERE r.d < 4 AND e.b < 250) SELECT n::VARCHAR AS url, min(d)::BIGINT AS depth FROM r GROUP BY n")
+@query("crawl_bfs_depth", "WITH RECURSIVE e AS (SELECT page_id AS a, unnest([page_id * 2 + 1, page_id * 3 + 2, page_id // 2]) AS b FROM pages), r AS (SELECT 0::BIGINT AS n, 0 AS d UNION SELECT e.b, r.d + 1 FROM r JOIN e ON e.a = r.n JOIN pages ON pages.page_id = e.b WHERE r.d < 64) SELECT n::VARCHAR AS url, min(d)::BIGINT AS depth FROM r GROUP BY n")
 def crawl_bfs_depth(spark, sf):
-    return crawl.breadth_first(_edges(spark, sf), "0", max_pages=100_000, max_depth=4).select("url", F.col("depth").cast("long").alias("depth"))
+    """All pages that links lead to from page 0; a link to no page leads nowhere."""
+    known = read(spark, sf, "pages").select(F.col("page_id").cast("string").alias("url"))
+    return crawl.breadth_first(_edges(spark, sf), "0", max_pages=2**31 - 1, fetched=known, count_failures=False).select("url", F.col("depth").cast("long").alias("depth"))
 
 
 # ---- streams ------------------------------------------------------------------------------------------------------

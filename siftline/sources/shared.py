@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Where a session on one machine, as in tests, keeps what it writes if it names no folder.
 LOCAL = "/tmp/checkpoints"
@@ -14,3 +16,18 @@ def shared_folder(spark: SparkSession) -> str:
     if not named and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir is to name a folder that all executors share")
     return (named or LOCAL).rstrip("/") + "/siftline"
+
+
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder; what is written there goes with the session."""
+    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
+def landed(df: DataFrame, tag: str) -> DataFrame:
+    """df written to the shared folder and read again: what follows sees one run's rows."""
+    path = shared_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

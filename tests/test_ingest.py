@@ -174,7 +174,7 @@ def test_urls(spark):
 
 def test_breadth_first(spark):
     edges = spark.createDataFrame([("a", "b", 0), ("a", "c", 1), ("b", "d", 0), ("c", "b", 0), ("d", "a", 0), ("d", "e", 1)], "src string, dst string, place long")
-    order = lambda **o: [(r["url"], r["depth"]) for r in crawl.breadth_first(edges, "a#x", **o).collect()]
+    order = lambda **o: [(r["url"], r["depth"]) for r in crawl.breadth_first(edges, "a#x", **o).orderBy("depth", "place").collect()]
     assert order() == [("a", 0), ("b", 1), ("c", 1), ("d", 2), ("e", 3)]
     assert order(max_depth=0) == [("a", 0)] and order(max_depth=1) == order()[:3] and order(max_pages=2) == order()[:2]
     have = spark.createDataFrame([("a",), ("c",), ("d",)], "url string")

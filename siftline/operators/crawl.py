@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import pages as P
@@ -63,10 +63,13 @@ def enqueued(frontier: DataFrame, urls: DataFrame) -> DataFrame:
     return frontier.unionByName(new.select("crawl_session_id", "url", "depth", F.lit("pending").alias("status"), F.lit(0).alias("attempts"), F.lit(None).cast("string").alias("last_error")))
 
 
-def claimed(frontier: DataFrame, order: str = "url", n: int = 1) -> DataFrame:
-    """frontier with its first n pending rows in processing, their attempts one more."""
+def claimed(frontier: DataFrame, order: str | None = None, n: int = 1, session_id: int | None = None) -> DataFrame:
+    """frontier with its first n pending rows in processing, their attempts one more: the oldest by frontier_id, where there
+    is one, else by url. session_id: of that session alone."""
     keys = ["crawl_session_id", "url"]
-    first = frontier.where("status = 'pending'").orderBy(order).limit(n).select(*keys).withColumn("_mine", F.lit(True))
+    order = order or ("frontier_id" if "frontier_id" in frontier.columns else "url")
+    mine = frontier if session_id is None else frontier.where(F.col("crawl_session_id") == session_id)
+    first = mine.where("status = 'pending'").orderBy(order).limit(n).select(*keys).withColumn("_mine", F.lit(True))
     x = frontier.join(first, keys, "left")
     return x.withColumn("status", F.when(F.col("_mine"), "processing").otherwise(F.col("status"))).withColumn("attempts", F.when(F.col("_mine"), F.col("attempts") + 1).otherwise(F.col("attempts"))).select(*frontier.columns)
 
@@ -94,3 +97,45 @@ def status_counts(frontier: DataFrame) -> DataFrame:
     """pending (with what is in processing), completed, failed."""
     n = lambda *s: F.coalesce(F.sum(F.col("status").isin(*s).cast("long")), F.lit(0).cast("long"))
     return frontier.agg(n("pending", "processing").alias("pending"), n("completed").alias("completed"), n("failed").alias("failed"))
+
+
+SESSION = "crawl_session_id long, session_key string, seed_url string, allowed_domain string, max_depth int, status string"
+
+
+def opened(sessions: DataFrame, seeds: DataFrame) -> DataFrame:
+    """sessions (SESSION) with one for each seed (seed_url, allowed_domain, max_depth): one that is there runs again, others
+    get the next ids in the order of their keys. Seeds are what callers name, so one task may number them."""
+    x = seeds.select(U.without_fragment(F.col("seed_url")).alias("seed_url"), "allowed_domain", F.col("max_depth").cast("int").alias("max_depth"))
+    key = F.when(F.col("max_depth").isNull(), U.session_key(F.col("seed_url"), None)).otherwise(F.sha2(F.concat("seed_url", F.lit("|depth="), F.col("max_depth").cast("string")), 256))
+    x = x.withColumn("session_key", key).dropDuplicates(["session_key"])
+    again = x.select("session_key", F.lit(True).alias("_again"))
+    old = sessions.join(again, "session_key", "left").withColumn("status", F.when(F.col("_again"), "running").otherwise(F.col("status"))).select(*sessions.columns)
+    new = x.join(sessions.select("session_key"), "session_key", "left_anti")
+    last = sessions.agg(F.coalesce(F.max("crawl_session_id"), F.lit(0)).alias("last"))
+    numbered = new.withColumn("n", F.row_number().over(Window.orderBy("session_key"))).join(F.broadcast(last))
+    return old.unionByName(numbered.select((F.col("last") + F.col("n")).cast("long").alias("crawl_session_id"), "session_key", "seed_url", "allowed_domain", "max_depth", F.lit("running").alias("status")))
+
+
+def session_of(sessions: DataFrame, seed_url: str, max_depth: int | None) -> DataFrame:
+    return sessions.where(F.col("session_key") == U.session_key(F.lit(seed_url), max_depth))
+
+
+def closed(sessions: DataFrame, ids: DataFrame) -> DataFrame:
+    """sessions, those of ids (crawl_session_id) completed."""
+    done = ids.select("crawl_session_id", F.lit(True).alias("_done")).distinct()
+    return sessions.join(done, "crawl_session_id", "left").withColumn("status", F.when(F.col("_done"), "completed").otherwise(F.col("status"))).select(*sessions.columns)
+
+
+def dropped(sessions: DataFrame, frontier: DataFrame, seed_url: str, max_depth: int | None) -> tuple[DataFrame, DataFrame]:
+    """sessions and frontier without a session and its rows."""
+    gone = session_of(sessions, seed_url, max_depth).select("crawl_session_id")
+    return tuple(x.join(gone, "crawl_session_id", "left_anti").select(*x.columns) for x in (sessions, frontier))
+
+
+def site_summary(changes: DataFrame, failed: DataFrame) -> DataFrame:
+    """site, created, updated, unchanged, total and failed of changes (site, change_type) and of sites (site) that failed."""
+    n = lambda kind: F.sum((F.col("change_type") == kind).cast("long")).alias(kind)
+    x = changes.groupBy("site").agg(n("created"), n("updated"), n("unchanged"), F.count(F.lit(1)).alias("total"))
+    bad = failed.select("site", F.lit(True).alias("failed")).distinct()
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return x.join(bad, "site", "full_outer").select("site", *map(zero, ("created", "updated", "unchanged", "total")), F.coalesce("failed", F.lit(False)).alias("failed"))

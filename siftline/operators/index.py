@@ -68,7 +68,11 @@ def _postings(terms: Column) -> Column:
 def build(docs: DataFrame, text: Column, stems: bool = False, normalise: bool = True, shard: Column | None = None) -> Index:
     """Index of docs (doc_id and what text and shard refer to), without a shuffle: all postings of a document are made from
     its own row, in the time that sorting its terms takes."""
-    analysed = with_terms(docs, text, stems, normalise, shard)
+    return from_terms(with_terms(docs, text, stems, normalise, shard))
+
+
+def from_terms(analysed: DataFrame) -> Index:
+    """Index of analysed documents (shard_id, doc_id, terms)."""
     postings = analysed.select("shard_id", "doc_id", F.explode(_postings(F.col("terms"))).alias("p"))
     postings = postings.select("shard_id", "p.term", "doc_id", F.size("p.positions").alias("tf"), "p.positions")
     return Index(postings.select(*POSTING), analysed.select("shard_id", "doc_id", F.size("terms").alias("doc_len")), analysed=analysed)
@@ -100,7 +104,7 @@ def merge(segments: list[Index], mode: str = "replace") -> Index:
     if mode == "replace":
         out = segments[0]
         for s in segments[1:]:
-            out = replaced(out, s)
+            out = replaced(out if s.gone is None else removed(out, s.gone), s)
         return out
 
     def last(tables: list[DataFrame], keys: list[str]) -> DataFrame:

@@ -15,8 +15,11 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..operators import changes, crawl, hybrid, lexical, present, reconcile, vectors
 from ..operators import index as X
-from ..sources.shared import shared_folder
 from ..operators.coordinator import Coordinator, WindowPolicy, best_of_shards, shard_summary, shard_window
+from ..operators.service import duplicates
+from ..sources.shared import shared_path
+from ..sources.storage import Store
+from .engine import Engine, bootstrap
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -446,6 +449,88 @@ def event_json_fields(spark, sf):
     return _events(spark, sf).select("event_id", "event_type", F.from_json("props", "k long")["k"].alias("k"))
 
 
+def _arrivals(spark, sf):
+    """Every document's url comes; every third comes again later with other content, and every ninth a third time as it was
+    the second."""
+    d = read(spark, sf, "documents").withColumn("url", F.concat(F.lit("doc:"), F.col("doc_id").cast("string")))
+    old = d.where("doc_id % 5 <> 0").select("doc_id", "url", F.col("source").alias("title"), F.col("text").alias("content"), F.lit("text").alias("content_type"), F.sha2("text", 256).alias("content_hash"), F.lit(1).alias("version"))
+    kind = F.lit("text").alias("content_type")
+    once = d.select("url", F.lit("first").alias("title"), F.col("text").alias("content"), kind, F.lit(1).alias("at"))
+    again = lambda k, n: d.where(F.col("doc_id") % n == 0).select("url", F.lit(f"time {k}").alias("title"), F.concat("text", F.lit("!")).alias("content"), kind, F.lit(k).alias("at"))
+    return old, once.unionByName(again(2, 3)).unionByName(again(3, 9))
+
+
+@query(
+    "document_upsert",
+    "WITH made AS (SELECT doc_id, row_number() OVER (ORDER BY 'doc:' || doc_id) + 999999999 AS id FROM documents WHERE doc_id % 5 = 0) "
+    "SELECT 'doc:' || d.doc_id AS url, coalesce(made.id, d.doc_id)::BIGINT AS doc_id, CASE WHEN d.doc_id % 3 = 0 THEN 'time 2' WHEN d.doc_id % 5 = 0 THEN 'first' ELSE source END AS title, "
+    "sha256(CASE WHEN d.doc_id % 3 = 0 THEN text || '!' ELSE text END) AS content_hash, (CASE WHEN d.doc_id % 3 = 0 THEN 2 ELSE 1 END)::BIGINT AS version FROM documents d LEFT JOIN made ON made.doc_id = d.doc_id",
+)
+def document_upsert(spark, sf):
+    old, new = _arrivals(spark, sf)
+    return changes.upserted(old, changes.detect(old, new, "at"), 10**9).select("url", "doc_id", "title", "content_hash", F.col("version").cast("long").alias("version"))
+
+
+@query("document_by_url", "SELECT doc_id, source AS title FROM documents WHERE doc_id = 42")
+def document_by_url(spark, sf):
+    d = documents(spark, sf).withColumn("url", F.concat(F.lit("doc:"), F.col("doc_id").cast("string")))
+    return changes.by_url(d, "doc:42").select("doc_id", "title")
+
+
+@query("batch_duplicates", "SELECT user_id AS doc_id, count(*) AS n FROM events GROUP BY 1 HAVING count(*) > 1")
+def batch_duplicates(spark, sf):
+    return duplicates(read(spark, sf, "events").select(F.col("user_id").alias("doc_id")))
+
+
+_ACTION = """CASE WHEN event_type = 'deleted' THEN 'delete' WHEN dv IS NULL THEN 'dead' WHEN NOT boot AND event_version <= iv THEN 'ignore' WHEN dv > event_version THEN 'ignore' WHEN dv < event_version THEN 'dead'
+ WHEN k % 7 = 0 THEN 'dead' ELSE 'apply' END"""
+
+
+@query(
+    "event_actions",
+    f"WITH {_EVENTS}, d AS (SELECT document_id, max(event_version) - 2 AS dv, CASE WHEN document_id % 2 = 0 THEN max(event_version) // 2 END AS iv FROM ev WHERE document_id % 11 <> 0 GROUP BY 1), "
+    "x AS (SELECT event_id, event_id::BIGINT AS k, CASE WHEN event_type = 'error' THEN 'deleted' ELSE 'updated' END AS event_type, event_version, event_id::BIGINT % 5 = 0 AS boot, dv, iv FROM ev LEFT JOIN d USING (document_id)) "
+    f"SELECT event_id, {_ACTION} AS action, {_ACTION} IN ('apply', 'delete') AS applied FROM x",
+)
+def event_actions(spark, sf):
+    """What the consumer does with each event: documents are two versions behind the last event, every seventh event has another hash."""
+    from ..streaming.apply import classified
+
+    e = _events(spark, sf)
+    k = F.col("event_id").cast("long")
+    d = e.groupBy("document_id").agg(F.max("event_version").alias("m")).where("document_id % 11 <> 0")
+    docs = d.select(F.col("document_id").alias("doc_id"), (F.col("m") - 2).alias("version"), F.lit("h").alias("content_hash"))
+    ledger = d.where("document_id % 2 = 0").select("document_id", F.floor(F.col("m") / 2).alias("event_version"))
+    boot = F.when(k % 5 == 0, F.create_map(F.lit("bootstrap"), F.lit("true"))).otherwise(F.create_map().cast("map<string,string>"))
+    x = e.select("event_id", "event_version", "document_id", F.when(F.col("event_type") == "error", "deleted").otherwise("updated").alias("event_type"), F.when(k % 7 == 0, "other").otherwise("h").alias("content_hash"), boot.alias("metadata"), F.lit(None).cast("string").alias("reason"))
+    return classified(x, docs, ledger).select("event_id", "action", F.col("action").isin("apply", "delete").alias("applied"))
+
+
+# ---- stored engines -----------------------------------------------------------------------------------------------
+
+
+def _engine(spark, sf) -> Engine:
+    docs = documents(spark, sf).withColumn("title", F.lit(None).cast("string"))
+    v = read(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), vectors.as_doubles(F.col("embedding")).alias("embedding"))
+    v = v.join(docs.select("doc_id"), "doc_id", "left_semi")  # a stored vector has a document
+    return Engine.open(spark, shared_path(spark, "engine"), lambda: docs, vectors=v, stems=False)
+
+
+@query("engine_bm25_topk", f"{BASE}, {bm25_sql(QUERY)} {top_sql('bm25', 20)}")
+def engine_bm25_topk(spark, sf):
+    return scored(_engine(spark, sf).search(QUERY, "lexical", 20)).orderBy(F.desc("score"), "doc_id")
+
+
+@query("engine_hybrid_topk", f"{BASE}, {bm25_sql(QUERY)}, {COSINE}, sc AS (SELECT 'shard-0' AS shard_id, cos.* FROM cos WHERE doc_id IN (SELECT doc_id FROM documents)), {_windowed('bm25', 50, 'lex')}, {_windowed('sc', 50, 'sem')}, {fused_sql()} {top_sql('fused', 10)}")
+def engine_hybrid_topk(spark, sf):
+    return scored(_engine(spark, sf).search(QUERY, "hybrid", 10, vector(spark, sf))).orderBy(F.desc("score"), "doc_id")
+
+
+@query("bootstrap_counts", f"WITH {RING.format(n=3)}, {routed('documents', 'doc_id')} SELECT shard_id, count(*) AS n_missing, ceil(count(*) / 100)::BIGINT AS n_batches, count(*) FILTER (trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '') AS n_embedded FROM route JOIN documents USING (doc_id) GROUP BY 1")
+def bootstrap_counts(spark, sf):
+    return bootstrap(Store(spark, shared_path(spark, "bootstrap")), documents(spark, sf), tuple(SHARDS), model=vectors.HashingModel(), stems=False)
+
+
 # ---- repair and maintenance ---------------------------------------------------------------------------------------
 
 
@@ -563,6 +648,27 @@ def html_title_text_links(spark, sf):
     return read(spark, sf, "pages").select("page_id", page.alias("p")).select("page_id", "p.title", "p.text", F.size("p.links").cast("long").alias("n_links"))
 
 
+@query("frontier_claim", f"WITH fr AS (SELECT page_id, regexp_replace(trim(url), '#.*$', '') AS url, ['pending', 'processing', 'failed', 'completed'][page_id % 4 + 1] AS status, page_id % 5 AS attempts FROM pages), c AS (SELECT page_id FROM fr WHERE status = 'pending' ORDER BY page_id LIMIT 25) SELECT fr.page_id AS frontier_id, CASE WHEN c.page_id IS NOT NULL THEN 'processing' ELSE status END AS status, (attempts + CASE WHEN c.page_id IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS attempts FROM fr LEFT JOIN c USING (page_id)")
+def frontier_claim(spark, sf):
+    """The oldest 25 pending rows, claimed at once."""
+    f = read(spark, sf, "pages").select(F.lit(1).cast("long").alias("crawl_session_id"), F.col("page_id").cast("string").alias("url"), F.lit(0).alias("depth"), F.element_at(F.array(*map(F.lit, ("pending", "processing", "failed", "completed"))), (F.col("page_id") % 4 + 1).cast("int")).alias("status"), (F.col("page_id") % 5).cast("int").alias("attempts"), F.lit(None).cast("string").alias("last_error"), F.col("page_id").alias("frontier_id"))
+    return crawl.claimed(f, n=25).select("frontier_id", "status", F.col("attempts").cast("long").alias("attempts"))
+
+
+@query("crawl_session_states", "WITH k AS (SELECT DISTINCT regexp_replace(trim(url), '#.*$', '') AS u, sha256(regexp_replace(trim(url), '#.*$', '') || '|depth=2') AS session_key FROM pages), s AS (SELECT session_key, row_number() OVER (ORDER BY session_key) AS crawl_session_id FROM k) SELECT crawl_session_id, session_key, CASE WHEN crawl_session_id % 2 = 0 THEN 'completed' ELSE 'running' END AS status FROM s")
+def crawl_session_states(spark, sf):
+    """A session for each page's url, asked for twice; those of even ids end."""
+    seeds = read(spark, sf, "pages").select(F.col("url").alias("seed_url"), U.netloc(F.col("url")).alias("allowed_domain"), F.lit(2).alias("max_depth"))
+    s = crawl.opened(crawl.opened(spark.createDataFrame([], crawl.SESSION), seeds), seeds)
+    return crawl.closed(s, s.where("crawl_session_id % 2 = 0")).select(F.col("crawl_session_id").cast("long").alias("crawl_session_id"), "session_key", "status")
+
+
+@query("crawl_site_summary", f"WITH {_DETECTED}, x AS (SELECT source AS site, change_type FROM det JOIN documents ON det.url = 'doc:' || documents.doc_id) SELECT site, sum((change_type = 'created')::BIGINT)::BIGINT AS created, sum((change_type = 'updated')::BIGINT)::BIGINT AS updated, sum((change_type = 'unchanged')::BIGINT)::BIGINT AS unchanged, count(*) AS total, false AS failed FROM x GROUP BY 1 UNION ALL SELECT 'lost', 0, 0, 0, 0, true")
+def crawl_site_summary(spark, sf):
+    site = read(spark, sf, "documents").select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("url"), F.col("source").alias("site"))
+    return crawl.site_summary(_detected(spark, sf).join(site, "url"), spark.createDataFrame([("lost",)], "site string"))
+
+
 def _edges(spark, sf):
     """A made-up link graph over pages: each links to two later ones and one earlier."""
     return read(spark, sf, "pages").select("page_id", F.posexplode(F.array(F.col("page_id") * 2 + 1, F.col("page_id") * 3 + 2, F.floor(F.col("page_id") / 2))).alias("place", "to")).select(F.col("page_id").cast("string").alias("src"), F.col("to").cast("string").alias("dst"), "place")
@@ -578,18 +684,16 @@ def crawl_bfs_depth(spark, sf):
 # ---- streams ------------------------------------------------------------------------------------------------------
 
 
-@query("stream_apply_events")
+@query("stream_apply_events", rf"""WITH terms AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(source || chr(10) || text, '{PATTERN}'), lambda x: lower(x)),
+  lambda x: x NOT IN ({LEXICON}) AND regexp_matches(x, '\p{{L}}')) AS w FROM documents) SELECT doc_id, len(w)::BIGINT AS doc_len FROM terms""")
 def stream_apply_events(spark, sf):
     """Change events of all documents, read as a stream of files, applied, and the index's documents.
 
     An event's document_id is to be positive, as in the reference, and the table's ids begin at 0: events have doc_id + 1."""
     from ..sources.events import encoded
-    from ..sources.storage import Store
     from ..streaming.apply import Applier
 
-    import uuid
-
-    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    root = shared_path(spark, "stream")
     docs = read(spark, sf, "documents").select((F.col("doc_id") + 1).alias("doc_id"), F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("url"), F.col("source").alias("title"), F.col("text").alias("content"), F.sha2("text", 256).alias("content_hash"), F.lit(1).alias("version"))
     e = changes.change_events(docs.withColumn("change_type", F.lit("created")))
     encoded(e).select("value").write.text(f"{root}/in")

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 import re
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.index import Index, merge
+from .shared import landed
 
 STATES = ("new", "loading", "persisting", "ready", "failed")
 SEGMENT = "format_version int, segment_id string, terms map<string,map<string,struct<term_frequency:int,positions:array<int>>>>, document_lengths map<string,int>, vectors map<string,array<double>>"
@@ -92,12 +94,11 @@ class Store:
         p = self._path(self._at(shard_id))
         return sorted(s.getPath().getName() for s in self._fs.listStatus(p) if s.isDirectory()) if self._fs.exists(p) else []
 
-    def publish(self, shard_id: str, index: Index) -> Manifest:
-        """Write the shard's rows as the next generation, point the manifest at it, remove what nothing refers to."""
-        old = self.manifest(shard_id)
-        generation = old.generation + 1 if old else 0
-        segment = f"segment-{generation:06d}"
+    def _write(self, shard_id: str, segment: str, index: Index | None, gone: DataFrame | None = None) -> None:
         mine = lambda df: df.where(F.col("shard_id") == shard_id)
+        if index is None:
+            empty = lambda ddl: self.spark.createDataFrame([], ddl)
+            index = Index(empty("shard_id string, term string, doc_id long, tf int, positions array<int>"), empty("shard_id string, doc_id long, doc_len int"))
         docs = mine(index.docs)
         docs.write.mode("overwrite").parquet(self._at(shard_id, segment, "docs"))
         # Ranges of terms, sorted: a query's terms touch few row groups.
@@ -107,12 +108,47 @@ class Store:
             if stray:
                 raise ValueError("a vector's document isn't in the shard")
             mine(index.vectors).write.mode("overwrite").parquet(self._at(shard_id, segment, "vectors"))
-        count = self.spark.read.parquet(self._at(shard_id, segment, "docs")).count()
-        m = Manifest(shard_id, generation, "ready", (segment,), count)
+        if gone is not None:
+            gone.select("doc_id").distinct().write.mode("overwrite").parquet(self._at(shard_id, segment, "gone"))
+
+    def _point(self, shard_id: str, generation: int, segments: tuple[str, ...]) -> Manifest:
+        """The manifest over segments; what fails before this leaves the generation that was there."""
+        count = merge([self.read_segment(shard_id, s) for s in segments]).docs.count()
+        m = Manifest(shard_id, generation, "ready", segments, count)
         self._put_text(self._at(shard_id, "manifest.json"), json.dumps(asdict(m), sort_keys=True))
         self.collect_garbage(shard_id)
         return m
 
+    def _next(self, shard_id: str) -> tuple[int, str, Manifest | None]:
+        old = self.manifest(shard_id)
+        generation = old.generation + 1 if old else 0
+        return generation, f"segment-{generation:06d}", old
+
+    def publish(self, shard_id: str, index: Index) -> Manifest:
+        """Write the shard's rows as the next generation, point the manifest at it, remove what nothing refers to."""
+        generation, segment, _ = self._next(shard_id)
+        self._write(shard_id, segment, index)
+        return self._point(shard_id, generation, (segment,))
+
+    def publish_all(self, shards: list[str], index: Index) -> None:
+        """publish for several shards of one index, some at a time."""
+        with ThreadPoolExecutor(min(8, max(1, len(shards)))) as pool:
+            list(pool.map(lambda s: self.publish(s, index), shards))
+
+    def append(self, shard_id: str, index: Index | None, gone: DataFrame | None = None) -> Manifest:
+        """The next generation: the last one's segments and one more, with the shard's rows of index and the documents (doc_id)
+        that go. Only these rows are written."""
+        generation, segment, old = self._next(shard_id)
+        self._write(shard_id, segment, index, gone)
+        return self._point(shard_id, generation, (*(old.active_segments if old else ()), segment))
+
+    def compact(self, shard_id: str) -> Manifest:
+        """All segments of a shard written as one."""
+        return self.publish(shard_id, self.load(shard_id))
+
+    def landed(self, df: DataFrame, tag: str) -> DataFrame:
+        return landed(df, tag)
+
     def collect_garbage(self, shard_id: str) -> list[str]:
         m = self.manifest(shard_id)
         gone = [s for s in self.segments(shard_id) if m and s not in m.active_segments]
@@ -122,8 +158,8 @@ class Store:
 
     def read_segment(self, shard_id: str, segment: str) -> Index:
         read = lambda kind: self.spark.read.parquet(self._at(shard_id, segment, kind))
-        vectors = read("vectors") if self._fs.exists(self._path(self._at(shard_id, segment, "vectors"))) else None
-        return Index(read("postings"), read("docs"), vectors)
+        has = lambda kind: self._fs.exists(self._path(self._at(shard_id, segment, kind)))
+        return Index(read("postings"), read("docs"), read("vectors") if has("vectors") else None, gone=read("gone") if has("gone") else None)
 
     def load(self, shard_id: str) -> Index | None:
         """The published generation, or None; the document count is to be the manifest's."""

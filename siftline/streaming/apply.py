@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import ring
 from ..functions import text as T
 from ..operators import changes
-from ..operators.index import Index, build, removed, replaced
+from ..operators.index import build
 from ..sources import events as E
 from ..sources.storage import Store
 
@@ -36,9 +38,17 @@ def classified(events: DataFrame, documents: DataFrame, ledger: DataFrame) -> Da
     return x.withColumn("action", action).drop("_version", "_hash", "_indexed", "_state")
 
 
+def processed_directly(events: DataFrame, documents: DataFrame) -> DataFrame:
+    """Decoded events with applied: whether an event, on its own and without a ledger, changes the index; action and reason
+    say why."""
+    none = events.sparkSession.createDataFrame([], LEDGER)
+    return classified(events, documents, none).withColumn("applied", F.col("action").isin("apply", "delete"))
+
+
 @dataclass
 class Applier:
-    """foreachBatch sink. State is in Parquet folders under root, one a batch, so that a repeated batch overwrites what its
+    """foreachBatch sink. Events that fail are tried again, with the documents as they are then; those that still fail go to
+    the dead letters. State is in Parquet folders under root, one a batch, so that a repeated batch overwrites what its
     first try left. Documents come from a function, to be read anew for each batch."""
 
     spark: SparkSession
@@ -47,6 +57,10 @@ class Applier:
     shards: tuple[str, ...] = ("shard-0",)
     virtual_nodes: int = ring.VIRTUAL_NODES
     stems: bool = True
+    max_retries: int = 3
+    retry_delay: float = 1.0
+    dead_sink: Callable[[DataFrame], None] | None = None  # takes key, value rows; KafkaOptions.write is one, with a topic
+    most_segments: int = 16
 
     def _table(self, name: str, schema: str, below: int | None = None) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -76,7 +90,16 @@ class Applier:
         good = changes.deduplicated(x.where("reason IS NULL"), self.processed(batch))
         docs = self.documents()
         seen = classified(good, docs, self.ledger(batch)).persist()
+        for _ in range(self.max_retries):  # what fails may find its document a little later
+            if not seen.where("action = 'dead'").limit(1).count():
+                break
+            time.sleep(self.retry_delay)
+            seen.unpersist()
+            docs = self.documents()
+            seen = classified(good, docs, self.ledger(batch)).persist()
         try:
+            if self.dead_sink is not None:  # if it fails so does the batch, which then comes again
+                self.dead_sink(seen.where("action = 'dead'").select(F.col("document_id").cast("string").alias("key"), "value"))
             self._put(bad.select("value", "reason").unionByName(seen.where("action = 'dead'").select("value", "reason")), "dead", batch)
             use = seen.where("action IN ('apply', 'delete')")
             # One action a document: the last by its offset; without offsets a delete comes after what it deletes.
@@ -87,9 +110,9 @@ class Applier:
             gone = last.select(F.col("document_id").alias("doc_id"))
             store = Store(self.spark, f"{self.root}/index")
             for shard in self.shards:
-                old = store.load(shard)
-                part = Index(new.postings.where(F.col("shard_id") == shard), new.docs.where(F.col("shard_id") == shard))
-                store.publish(shard, part if old is None else replaced(removed(old, gone), part))
+                m = store.append(shard, new, gone)
+                if len(m.active_segments) > self.most_segments:
+                    store.compact(shard)
             self._put(use.where("action = 'apply'").select("document_id", "event_version", "event_id", F.current_timestamp().alias("indexed_at")), "ledger", batch)
             self._put(seen.where("action <> 'dead'").select("event_id", "document_id", "event_version"), "processed", batch)
         finally:

@@ -1,28 +1,29 @@
 """Main text of web pages by minimum-cut labelling of text blocks.
 
 A page is cut into blocks of text. A linear classifier (tag and class hints of the enclosing elements, link density,
-length, punctuation) gives each block a cost for either label; these are the capacities to the two terminals. Blocks that
-follow one another, and blocks with the same parent, are joined by smoothness edges, the heavier the more of the DOM path
-they share. The minimum cut, found by max-flow, is the cheapest labelling.
+length, punctuation and more) gives each block the log odds of being content; these are the capacities to the two
+terminals. Blocks that follow one another, and blocks with the same parent, are joined by smoothness edges, the heavier
+the more of the DOM path they share. The minimum cut, found by max-flow, is the cheapest labelling.
+
+The classifier's weights are fitted by logistic regression to blocks of a sample of pages whose markup labels them (inside
+an article or main element, or not), each block once with its markup and once as if the markup said nothing. A prior keeps
+them near PRIOR where the sample says little.
 """
 
 from __future__ import annotations
 
 import re
-from collections import deque
+import zlib
+from collections import Counter, deque
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import pieces, schema_of, table, text_of
 
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|title|object)\b(?:[^>"']|"[^"]*"|'[^']*')*(?:/>|>.*?(?:</\1\s*>|\Z))"""
-    r"""|<(/?)([a-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)|([^<]+|<)""",
-    re.I | re.S,
-)
 _HINT = re.compile(r"""(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[a-z]+|\d+")
 
@@ -40,19 +41,88 @@ HEAD_HINTS = frozenset(["header", "heading"])
 HOME = frozenset(["article", "main"])
 HOME_HINTS = frozenset("article main content post entry story body text maincontent articlebody".split())
 
-#: Weights of the classifier, and of the edges.
-HARD, ARTICLE, HINTED, HEADER, LINKS, LENGTH, SENTENCE, SHORT = 10_000, 120, 40, 60, 60, 40, 15, 15
+#: Features of a block and their weights before anything is learned, in twentieths of the log odds.
+PRIOR = {
+    "one": -10.0, "home": 120.0, "home_hint": 40.0, "head": -60.0, "away": -400.0, "link_share": -60.0, "length": 40.0, "sentence": 15.0, "short": -15.0,
+    "in_list": 0.0, "heading": 0.0, "paragraph": 0.0, "marks": 0.0, "digits": 0.0, "depth": 0.0,
+}
+#: Those that the markup's meaning gives.
+MARKUP = ("home", "home_hint", "head", "away")
+#: Weights of the smoothness edges.
 NEXT, SIBLING = 8, 6
+#: Pages that the weights are fitted to (about; four times as many at most), and blocks of each of them.
+SAMPLE, SAMPLE_BLOCKS = 1000, 64
+#: Elements whose content isn't text of the page.
+RAW = frozenset("script style noscript template svg iframe textarea title object".split())
+_RAW_ENDS = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile("[>\"']")
+#: Tags whose quotes never close on a page, until quotes are no longer looked at.
+PATIENCE = 8
+
+
+def tags(html: str):
+    """(kind, name, text) of a page's pieces in turn: "text", "open" with attributes, "close", and "raw" for an element whose
+    content is passed over. Time is linear in the page, whatever is left open."""
+    at, n, last, patience = 0, len(html), html.rfind(">"), PATIENCE
+    while at < n:
+        k = html.find("<", at)
+        if k < 0 or k > last:  # no tag can end any more
+            rest = html[at:] if k < 0 or not html.startswith("<!--", k) else html[at:k]
+            if rest:
+                yield "text", "", rest
+            return
+        if k > at:
+            yield "text", "", html[at:k]
+        if html.startswith("<!--", k):
+            end = html.find("-->", k + 4)
+            if end < 0:
+                return
+            at = end + 3
+            continue
+        close = html.startswith("</", k)
+        name = _NAME.match(html, k + 1 + close)
+        if not name:
+            if close or html.startswith(("<!", "<?"), k):
+                at = html.find(">", k) + 1
+            else:
+                yield "text", "", "<"
+                at = k + 1
+            continue
+        tag, end = name[0].lower(), name.end()
+        stop = None
+        if patience:
+            here = end
+            while (m := _STOP.search(html, here)) and m[0] != ">":
+                here = html.find(m[0], m.end()) + 1
+                if not here:
+                    m = None
+                    break
+            stop = m.start() if m else None
+            patience -= stop is None
+        if stop is None:
+            stop = html.find(">", end)
+        attributes, at = html[end:stop], stop + 1
+        if close:
+            yield "close", tag, ""
+        elif tag in RAW:
+            if not attributes.endswith("/"):
+                m = _RAW_ENDS[tag].search(html, at)
+                at = m.end() if m else n
+            yield "raw", tag, ""
+        else:
+            yield "open", tag, attributes
 
 
 class _Open:
-    __slots__ = ("tag", "away", "home", "hint", "head", "link", "node", "depth")
+    __slots__ = ("tag", "away", "home", "hint", "head", "link", "node", "depth", "block")
 
-    def __init__(self, tag, away, home, hint, head, link, node, depth):
+    def __init__(self, tag, away, home, hint, head, link, node, depth, block):
         self.tag, self.away, self.home, self.hint, self.head, self.link, self.node, self.depth = tag, away, home, hint, head, link, node, depth
+        self.block = block or self  # the innermost element that makes a block of its text
 
 
-_ROOT = _Open("", False, False, False, False, False, 0, 0)
+_ROOT = _Open("", False, False, False, False, False, 0, 0, None)
 
 
 def _hints(attributes: str) -> set[str]:
@@ -69,60 +139,55 @@ def blocks(html: str) -> list[tuple[str, int, _Open]]:
     stack, out, nodes = [_ROOT], [], 0
     parts: list[str] = []
     linked = 0
+    counts: Counter = Counter()  # open elements by tag, so that a stray tag costs nothing
 
     def flush():
         nonlocal linked
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                top = next((e for e in reversed(stack) if e.tag in BLOCK or e.away), _ROOT)
-                out.append((text, linked, top))
+                out.append((text, linked, stack[-1].block))
             parts.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(html):
-        raw, text = m[1], m[8]
-        if text is not None:
+    def shut(k):
+        for e in stack[k:]:
+            counts[e.tag] -= 1
+        del stack[k:]
+
+    for kind, tag, text in tags(html):
+        if kind == "text":
             parts.append(text)
             if stack[-1].link:
                 linked += len(text.strip())
             continue
-        if raw is not None:
-            if raw.lower() == "title":
+        if kind == "raw":
+            if tag == "title":
                 flush()
             continue
-        tag = m[3] or m[6]
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if m[2] or m[5]:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-            if tag in BLOCK or k and stack[k].away and not stack[k - 1].away:
+        block = tag in BLOCK
+        if kind == "close":
+            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0) if counts[tag] > 0 else 0
+            if block or k and stack[k].away and not stack[k - 1].away:
                 flush()
             if k:
-                del stack[k:]
+                shut(k)
             continue
-        attributes = (m[4] if m[4] is not None else m[7]) or ""
-        hints = _hints(attributes)
-        block = tag in BLOCK
-        if block and tag != "br":
+        hints = _hints(text)
+        if block:
             flush()
-            for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag in BLOCK:
-                    break
-            if tag in CLOSES:
+        if block and tag != "br":
+            above = stack[-1].block
+            if counts["p"] > 0 and above.tag == "p":  # a block ends an open paragraph
+                shut(next(k for k in range(len(stack) - 1, 0, -1) if stack[k] is above))
+            if tag in CLOSES and any(counts[t] > 0 for t in CLOSES[tag][0]):
                 ends, stops = CLOSES[tag]
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag in ends:
-                        del stack[k:]
+                        shut(k)
                         break
                     if stack[k].tag in stops:
                         break
-        elif block:
-            flush()
         if tag in VOID:
             continue
         up = stack[-1]
@@ -132,20 +197,67 @@ def blocks(html: str) -> list[tuple[str, int, _Open]]:
             flush()
         head = tag in HEADS or bool(hints & HEAD_HINTS) and not page
         nodes += 1
-        if not attributes.endswith("/") or block:
-            stack.append(_Open(tag, up.away or away or tag in HOME and bool(hints & {"comment", "comments", "reply", "ad", "advert", "sponsored", "related"}), up.home or tag in HOME or "main" in hints and not page, up.hint or bool(hints & HOME_HINTS) and not page, up.head or head and not up.home, up.link or tag == "a", nodes, up.depth + 1))
+        if not text.endswith("/") or block:
+            away = up.away or away or tag in HOME and bool(hints & {"comment", "comments", "reply", "ad", "advert", "sponsored", "related"})
+            own = None if block or away else up.block
+            stack.append(_Open(tag, away, up.home or tag in HOME or "main" in hints and not page, up.hint or bool(hints & HOME_HINTS) and not page, up.head or head and not up.home, up.link or tag == "a", nodes, up.depth + 1, own))
+            counts[tag] += 1
     flush()
     return out
 
 
-def costs(text: str, linked: int, at: _Open) -> tuple[int, int]:
-    """Evidence for content, and for boilerplate."""
-    if at.away:
-        return 0, HARD
+def features(text: str, linked: int, at: _Open) -> list[float]:
+    """Those of PRIOR, in its order."""
     share = min(1.0, linked / len(text))
-    content = ARTICLE * at.home + HINTED * at.hint + min(LENGTH, len(text) // 10) * (share < 0.5) + SENTENCE * (text[-1] in ".!?…:;”\"'。！？")
-    boiler = HEADER * at.head + int(LINKS * share) + SHORT * (len(text) < 25) + 10
-    return content, boiler
+    size = max(1, len(text))
+    return [
+        1.0, at.home, at.hint, at.head, at.away, share, min(1.0, len(text) / 400) * (share < 0.5), text[-1] in ".!?…:;”\"'。！？", len(text) < 25,
+        at.tag in ("li", "td", "th", "dd", "dt", "option"), at.tag in ("h1", "h2", "h3", "h4", "h5", "h6"), at.tag in ("p", "blockquote", "pre"),
+        min(1.0, 20 * sum(map(text.count, ",.;")) / size), sum(map(str.isdigit, text)) / size, min(1.0, at.depth / 20),
+    ]
+
+
+def fitted(x: np.ndarray, content: np.ndarray, prior: np.ndarray, strength: float = 0.02, rounds: int = 12) -> np.ndarray:
+    """Weights of a logistic regression with a Gaussian prior around prior, by Newton's method on averages."""
+    w, scale = prior.copy(), 20.0
+    if not len(x) or content.min() == content.max():
+        return w
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w / scale, -30, 30)))
+        slope = x.T @ (content - p) / len(x) - strength * (w - prior) / scale
+        curve = (x * (p * (1 - p))[:, None]).T @ x / len(x) + strength * np.eye(len(w))
+        w = w + scale * np.linalg.solve(curve, slope)
+    return w
+
+
+def _labelled(batches):
+    """Features of some blocks of pages whose markup has a home for the article, and whether they are in it: with the markup, and
+    with the markup's features at 0."""
+    blank = [k for k, f in enumerate(PRIOR) if f in MARKUP]
+    for batch in pieces(batches, "html"):
+        rows, labels = [], []
+        for html in batch.column(batch.schema.get_field_index("html")).to_pylist():
+            found = blocks(html)
+            if not any(at.home for _, _, at in found):
+                continue
+            for text, linked, at in sorted(found, key=lambda b: zlib.crc32(b[0].encode()))[:SAMPLE_BLOCKS]:
+                x = list(map(float, features(text, linked, at)))
+                rows += [x, [0.0 if k in blank else v for k, v in enumerate(x)]]
+                labels += [at.home and not at.away] * 2
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), pa.array(labels, pa.bool_())], ["x", "content"])
+
+
+def learned(pages: DataFrame, sample: int = SAMPLE) -> np.ndarray:
+    """Weights fitted to about sample pages, those of the smallest hashes: at most four times as many, and SAMPLE_BLOCKS blocks of
+    each, so that the driver's share is bounded."""
+    n = pages.count()
+    prior = np.array(list(PRIOR.values()))
+    if not n:
+        return prior
+    share = min(1.0, sample / n)
+    x = pages.select(text_of("html").alias("html")).where(F.pmod(F.xxhash64("html"), F.lit(1_000_000)) < max(1, round(share * 1_000_000))).limit(4 * sample)
+    rows = sorted(map(tuple, x.mapInArrow(_labelled, "x array<double>, content boolean").collect()))
+    return fitted(np.array([r[0] for r in rows]).reshape(-1, len(prior)), np.array([r[1] for r in rows], float), prior)
 
 
 def minimum_cut(content: list[int], boiler: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
@@ -210,10 +322,12 @@ def minimum_cut(content: list[int], boiler: list[int], edges: list[tuple[int, in
             x = to[e]
 
 
-def main_text(html: str) -> str:
+def main_text(html: str, weights: np.ndarray | None = None) -> str:
     """The blocks that the cut labels as content, joined by one space; empty if there are none."""
     found = blocks(html)
-    a, b = zip(*(costs(*x) for x in found)) if found else ((), ())
+    if not found:
+        return ""
+    odds = np.rint(np.array([features(*x) for x in found], float) @ (np.array(list(PRIOR.values())) if weights is None else weights)).astype(int).tolist()
     edges, last = [], {}
     for k, (_, _, at) in enumerate(found):
         if k:
@@ -222,26 +336,35 @@ def main_text(html: str) -> str:
         if at.node in last and last[at.node] != k - 1:
             edges.append((last[at.node], k, SIBLING))
         last[at.node] = k
-    return " ".join(x[0] for x, keep in zip(found, minimum_cut(list(a), list(b), edges)) if keep)
+    keep = minimum_cut([max(0, z) for z in odds], [max(0, -z) for z in odds], edges)
+    return " ".join(x[0] for x, k in zip(found, keep) if k)
 
 
-def _extract(html: str, columns: list[str]):
+def _extract(weights: np.ndarray, html: int, columns: int, names: list[str]):
     def run(batches):
-        for batch in pieces(batches, html):
-            texts = [main_text(h or "") for h in batch.column(batch.schema.get_field_index(html)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in columns), pa.array(texts, pa.string())], [*columns, "_main"])
+        for batch in pieces(batches, names[html]):
+            texts = [main_text(h or "", weights) for h in batch.column(html).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:columns], pa.array(texts, pa.string())], [*names[:columns], names[-1]])
 
     return run
 
 
-def with_main_text(pages: DataFrame, columns: list[str], out: str = "text") -> DataFrame:
-    """columns of pages (not html) and the main text of each row's html; a null or empty html, and a page of boilerplate
-    only, give an empty text. Each page is a matter of its own: nothing is shuffled."""
-    x = pages.select(*columns, text_of("html").alias("_html"))
-    return x.mapInArrow(_extract("_html", columns), schema_of(x.schema.fields[:-1], "_main string")).withColumnRenamed("_main", out)
+def with_main_text(pages: DataFrame, columns: list[str], out: str = "text", weights: np.ndarray | None = None) -> DataFrame:
+    """columns of pages (not html) and the main text of each row's html, as out; a column of that name among columns is
+    replaced. weights: those of learned(), else PRIOR.
+
+    A null or empty html, and a page of boilerplate only, give an empty text. Malformed and very long pages take time in
+    proportion to their length. Repeated rows stay, other columns may have any names, an empty table gives no rows. Each
+    page is a matter of its own: nothing is shuffled.
+    """
+    columns = [c for c in columns if c.lower() != out.lower()]
+    names = [f"c{k}" for k in range(len(columns))] + ["html", "main"]
+    x = pages.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(columns, names)), text_of("html").alias("html"))
+    got = x.mapInArrow(_extract(weights, len(columns), len(columns), names), schema_of(x.schema.fields[:-1], "main string"))
+    return got.select(*(F.col(n).alias(c) for n, c in zip(names, columns)), F.col("main").alias(out))
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages."""
-    x = with_main_text(table(spark, sf_dir, "pages"), ["page_id", "url"])
-    return x.withColumn("n_chars", F.char_length("text").cast("long"))
+    """All pages, by weights fitted to a sample of them."""
+    pages = table(spark, sf_dir, "pages")
+    return with_main_text(pages, ["page_id", "url"], weights=learned(pages)).withColumn("n_chars", F.char_length("text").cast("long"))

@@ -2,11 +2,13 @@ import html as H
 import itertools
 import random
 import re
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftline.llm.html_extraction import main_text, minimum_cut, op7_html_extraction, with_main_text
+from siftline.llm.html_extraction import PRIOR, learned, main_text, minimum_cut, op7_html_extraction, with_main_text
 
 LONG = "This is a sentence of the article that says something at some length, as sentences do. " * 3
 
@@ -48,6 +50,44 @@ def test_odd_pages_end(page):
     main_text(page)
 
 
+@pytest.mark.parametrize("page", ["<a ", "<script a='", "<a b='", "<!-- ", "<p>w", "</b>", "<b>t<br>", "<td></td>", "<div><li>", "<a \">\"", "<![CDATA[", "&amp", "<title>", "<a href=x>y", "<p>A sentence, of some length, that ends here.<li>x"])
+def test_a_megabyte_takes_a_few_seconds(page):
+    started = time.process_time()
+    main_text("<div>" * 5000 + page * (1_000_000 // len(page)))
+    assert time.process_time() - started < 8
+
+
+def test_many_stray_tags():
+    started = time.process_time()
+    main_text("<div>" * 10_000 + "</i>" * 10_000 + "<td>" * 10_000 + "<b>" * 20_000 + "x<br>" * 20_000)
+    assert time.process_time() - started < 3
+
+
+def plain_page(rng):
+    """A page without article or main, its parts in divs of meaningless classes, and its blocks with whether they are content."""
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randrange(2, 9)))
+    words = lambda n: " ".join(word() for _ in range(n))
+    menu = [words(rng.randrange(1, 3)) for _ in range(rng.randrange(4, 12))]
+    paragraphs = [words(rng.randrange(25, 90)).capitalize() + ", " + words(12) + "." for _ in range(rng.randrange(3, 9))]
+    foot = [words(3), words(2)]
+    rows = "".join(f"<li><a href='/{k}'>{m}</a></li>" for k, m in enumerate(menu))
+    html = f"<html><body><div class=x1><ul>{rows}</ul></div><div class=x2><h1>{words(5)}</h1>" + "".join(f"<p>{p}</p>" for p in paragraphs) + "</div><div class=x3>" + "".join(f"<a href=q>{f}</a> " for f in foot) + "</div></body></html>"
+    return html, {m: False for m in menu} | {p: True for p in paragraphs}
+
+
+def test_held_out_blocks_of_pages_without_an_article(spark, sf):
+    weights = learned(spark.read.parquet(f"{sf}/pages.parquet"))
+    assert np.abs(weights - np.array(list(PRIOR.values()))).max() > 0.5 and np.abs(weights).max() < 1000  # fitted, and finite
+    rng, tp, fp, fn = random.Random(4), 0, 0, 0
+    for _ in range(60):
+        html, truth = plain_page(rng)
+        text = main_text(html, weights)
+        for block, content in truth.items():
+            got = f" {block} " in f" {text} "
+            tp, fp, fn = tp + (got and content), fp + (got and not content), fn + (content and not got)
+    assert 2 * tp / (2 * tp + fp + fn) > 0.95
+
+
 def test_whole_table(spark, sf):
     rows = op7_html_extraction(spark, sf.replace("0.001", "0.01")).collect()
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf.replace('0.001', '0.01')}/pages.parquet").collect()}
@@ -57,6 +97,11 @@ def test_whole_table(spark, sf):
         assert r["text"] == " ".join(H.unescape(re.sub("<[^>]+>", " ", re.sub("</?b>", "", inner))).split()) and r["n_chars"] == len(r["text"])
 
 
+def test_clashing_names(spark):
+    d = spark.createDataFrame([(1, "u", "<article>é</article>", "x", "y")], "page_id long, url string, html string, _html string, text string")
+    assert tuple(with_main_text(d, ["page_id", "_html", "text"]).first()) == (1, "x", "é")
+
+
 def test_nulls_and_clashes(spark):
     d = spark.createDataFrame([(1, None, None), (1, None, None), (None, "u", "<article>é</article>")], "page_id long, url string, html string").withColumn("_main_text", F.lit(1))
     assert sorted((r["text"], r["_main_text"]) for r in with_main_text(d, ["page_id", "url", "_main_text"]).collect()) == [("", 1), ("", 1), ("é", 1)]

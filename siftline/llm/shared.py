@@ -41,6 +41,13 @@ def _hadoop(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, as Hadoop understands it."""
+    fs, p = _hadoop(spark, path)
+    full = fs.makeQualified(p).toString()
+    return full if "://" in full else full.replace(":/", ":///", 1)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     fs, p = _hadoop(spark, path)
     fs.delete(p, True)

@@ -190,8 +190,12 @@ def with_rates(rows: DataFrame, rates: DataFrame, url: str) -> DataFrame:
 
 
 def learned(labelled: DataFrame, rates: DataFrame, prior: float, sample: int = SAMPLE, **options) -> Model | None:
-    """A model from labelled (url, blocked), of which the URLs of the smallest hashes are used to fit it, sample at most."""
-    rows = sorted(with_rates(labelled.orderBy(F.xxhash64("url"), "url").limit(sample), rates, "url").collect())
+    """A model from labelled (url, blocked; each URL once), of which the URLs of the smallest hashes are used to fit it, sample at
+    most. Others don't leave their tasks."""
+    n = labelled.count()
+    share = min(1_000_000, -(-1_100_000 * sample // max(1, n)))  # of a million; one in ten more than needed
+    some = labelled.where(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < share).select("url", "blocked", F.xxhash64("url").alias("h")).limit(2 * sample)
+    rows = sorted(sorted(with_rates(some, rates, "url").collect(), key=lambda r: (r["h"] % 1_000_000, r["url"]))[:sample], key=lambda r: r["url"])
     return train([r["url"] for r in rows], np.array([r["blocked"] for r in rows]), known=[known(r["_rate"], prior) for r in rows], **options)
 
 
@@ -201,30 +205,39 @@ def known(rate: float | None, prior: float) -> tuple[float, bool]:
 
 
 def judge(pages: DataFrame, columns: list[str], rules=RULES, sample: int = SAMPLE) -> DataFrame:
-    """columns of pages, host, path, rule and verdict of every row's url.
+    """columns of pages, host, path, rule and verdict of every row's url; columns of these four names are replaced.
 
     A null url or one without :// has an empty host and path; no rule fits it, and the trees judge it as they do any
-    other. Without labels of both kinds, what no rule decides is allowed. Repeated rows stay.
+    other. Without labels of both kinds, what no rule decides is allowed. Repeated rows stay, though a URL counts once in
+    what is learned; URLs may be of any length; other columns may have any names; an empty table gives no rows.
     """
     sc = pages.sparkSession.sparkContext
-    x = pages.select(*columns, F.col("url").cast("string").alias("_url")).withColumn("host", host_of(F.col("_url"))).withColumn("path", path_of(F.col("_url"))).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
+    columns = [c for c in columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    kept = F.struct(*(F.col(f"`{c}`") for c in columns)) if columns else F.lit(None)
+    x = pages.select(kept.alias("row"), F.col("url").cast("string").alias("url"))
+    x = x.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url"))).withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     blocking = [r for v, r in rules if v == "block"]
     blocked = F.col("rule").isin(blocking) if blocking else F.lit(False)
-    labelled = x.where(F.col("rule").isNotNull() & F.col("_url").isNotNull()).groupBy(F.col("_url").alias("url")).agg(F.max(blocked.cast("int")).alias("blocked"))
+    labelled = x.where(F.col("rule").isNotNull() & F.col("url").isNotNull()).groupBy("url").agg(F.max(blocked.cast("int")).alias("blocked"))
+    labelled = land(labelled, "url-labels")
     prior = labelled.agg(F.avg("blocked")).first()[0] or 0.0
     rates = suffix_rates(labelled, prior)
     model = sc.broadcast(learned(labelled, rates, prior, sample))
 
     @F.pandas_udf("boolean")
-    def by_trees(urls, rate):
+    def by_trees(open_, urls, rate):
         import pandas as pd
 
-        m = model.value
-        return pd.Series(m.blocks(urls, [known(r, prior) for r in rate]) if m else np.zeros(len(urls), bool), index=urls.index)
+        m, out = model.value, np.zeros(len(urls), bool)
+        at = np.flatnonzero(open_)
+        if m and len(at):
+            out[at] = m.blocks([urls.iloc[k] for k in at], [known(rate.iloc[k], prior) for k in at])
+        return pd.Series(out, index=urls.index)
 
-    x = with_rates(x, rates, "_url")
-    verdict = F.when(F.col("rule").isNotNull(), F.when(blocked, "block").otherwise("allow")).when(by_trees("_url", "_rate"), "block").otherwise("allow")
-    return x.withColumn("verdict", verdict).select(*columns, "host", "path", "rule", "verdict")
+    x = with_rates(x, rates, "url")
+    free = F.col("rule").isNull()  # rows that a rule decides go to the trees empty
+    verdict = F.when(~free, F.when(blocked, "block").otherwise("allow")).when(by_trees(free, F.when(free, F.col("url")), "_rate"), "block").otherwise("allow")
+    return x.withColumn("verdict", verdict).select(*(F.col(f"row.`{c}`").alias(c) for c in columns), "host", "path", "rule", "verdict")
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

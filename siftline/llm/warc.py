@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import land, shared_path, table, text_of
+from .shared import land, qualified, shared_path, table, text_of
 
 MAGIC = b"\x1f\x8b\x08"
 #: Payloads shorter than this are written again, never as a revisit.
@@ -27,6 +27,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FILES = "path string, bytes long, records long"
 RECORD = "record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary, path string, position long"
 SALTS = 16
+#: Type of the row that stands for a record which can't be read.
+DAMAGED = "damaged"
 _FIELD = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)")
 
 
@@ -53,11 +55,17 @@ def make_record(page_id, url, payload: bytes, digest: str, refers_to, revisit: b
     return packer.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
 
 
+def _opened(uri: str):
+    """Arrow's file system of a URI as Hadoop writes it, and the path in it."""
+    from pyarrow import fs
+
+    scheme, colon, rest = uri.partition("://")
+    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3", "abfss": "abfs"}.get(scheme, scheme) + colon + rest if colon else uri)
+
+
 def _write(folder: str, most: int):
     def run(batches):
-        from pyarrow import fs
-
-        system, base = fs.FileSystem.from_uri(folder)
+        system, base = _opened(folder)
         system.create_dir(base, recursive=True)
         out, done, size, count = None, [], 0, 0
         for batch in batches:
@@ -88,11 +96,13 @@ def write_warc(pages: DataFrame, folder: str, most: int = 1 << 30) -> DataFrame:
     Of rows with equal payloads of at least REVISIT_BYTES bytes, those with the largest page_id are responses (repeated
     rows may tie), others revisits of it. A null html is an empty payload; a null page_id is never the largest unless all
     are null. The groups are counted in part before the shuffle, and salted for the join, so that a payload that a third
-    of all pages share is no task's burden. Revisits carry no payload.
+    of all pages share is no task's burden; short payloads, which are never revisits, are dealt by page. Revisits carry no
+    payload. A folder without a scheme is one of Hadoop's default file system. An empty table makes no archive.
     """
     spark = pages.sparkSession
+    folder = qualified(spark, folder)
     x = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.to_binary(text_of("html"), F.lit("utf-8")).alias("payload"))
-    x = x.withColumn("digest", F.sha1("payload")).withColumn("long", F.octet_length("payload") >= REVISIT_BYTES).withColumn("salt", F.when(F.col("long"), F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")))
+    x = x.withColumn("digest", F.sha1("payload")).withColumn("long", F.octet_length("payload") >= REVISIT_BYTES).withColumn("salt", F.when(F.col("long"), F.pmod(F.xxhash64("page_id"), F.lit(SALTS))).otherwise(SALTS + F.pmod(F.xxhash64("page_id", "url", F.monotonically_increasing_id()), F.lit(1 << 30))).cast("int"))
     groups = x.where("long").groupBy("digest").agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "keep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     marked = x.join(groups, ["digest", "salt"], "left").withColumn("revisit", F.col("keep").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keep")))
     rows = marked.select("page_id", "url", "digest", F.when(F.col("revisit"), F.col("keep")).alias("keep"), "revisit", F.octet_length("payload").alias("size"), F.when(F.col("revisit"), F.lit(b"")).otherwise(F.col("payload")).alias("payload"))
@@ -130,7 +140,8 @@ def next_member(w: _Window, at: int, end: int) -> int | None:
 
 
 def members(w: _Window, start: int, end: int):
-    """Position and content of each member that begins in [start, end); what doesn't decode is passed over."""
+    """Position and content of each member that begins in [start, end); the content of one that doesn't decode to its end is
+    None, and the search goes on behind its first byte."""
     at = next_member(w, start, end)
     while at is not None:
         unpack, off, parts = zlib.decompressobj(31), at, []
@@ -142,8 +153,7 @@ def members(w: _Window, start: int, end: int):
             good = unpack.eof
         except zlib.error:
             good = False
-        if good:
-            yield at, b"".join(parts)
+        yield at, b"".join(parts) if good else None
         at = next_member(w, off - len(unpack.unused_data) if good else at + 1, end)
 
 
@@ -163,21 +173,19 @@ def parse(record: bytes) -> dict:
 
 def _read(with_payload: bool):
     def run(batches):
-        from pyarrow import fs
-
         names = [x.split()[0] for x in RECORD.split(", ")]
         schema = pa.schema([(n, pa.int64() if n in ("payload_bytes", "position") else pa.binary() if n == "payload" else pa.string()) for n in names])
         for batch in batches:
             for split in batch.to_pylist():
-                system, path = fs.FileSystem.from_uri(split["path"])
+                system, path = _opened(split["path"])
                 rows, held = [], 0
                 with system.open_input_file(path) as f:
                     for at, data in members(_Window(f, split["bytes"]), split["start"], split["end"]):
-                        row = parse(data) | {"path": split["path"], "position": at}
+                        row = (parse(data) if data is not None else {"record_type": DAMAGED}) | {"path": split["path"], "position": at}
                         if not with_payload:
-                            row["payload"] = None
+                            row.pop("payload", None)
                         rows.append(row)
-                        held += len(data) if with_payload else 1 << 10
+                        held += len(data or b"") if with_payload else 1 << 10
                         if held >= 8 << 20:
                             yield pa.RecordBatch.from_pylist(rows, schema)
                             rows, held = [], 0
@@ -189,7 +197,8 @@ def _read(with_payload: bool):
 
 def read_warc(files: DataFrame, split_bytes: int = 16 << 20, with_payload: bool = True) -> DataFrame:
     """The records (RECORD) of the archives in files (path, bytes), by byte ranges of split_bytes; any WARC with a member a
-    record will do. An empty list of files gives no rows."""
+    record will do. A member that begins as a record but doesn't decode is a row of type DAMAGED with its path and position
+    only, so that a damaged archive doesn't look whole. An empty list of files gives no rows."""
     total = files.agg(F.sum("bytes")).first()[0] or 0
     splits = files.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("start"))
     splits = splits.withColumn("end", F.least(F.col("start") + split_bytes, F.col("bytes")))

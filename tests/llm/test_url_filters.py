@@ -77,3 +77,28 @@ def test_query(spark, sf):
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule) and (not rule or r["verdict"] == verdict)
     again = op10_url_filters(spark, sf).collect()
     assert sorted(map(str, rows)) == sorted(map(str, again))
+
+
+def test_clashing_names(spark):
+    from siftline.llm.url_filters import judge
+
+    d = spark.createDataFrame([(1, "http://a.org/x", "mine", 2, 3), (2, None, "mine", 2, 3)], "page_id long, url string, host string, _rate int, _salt int")
+    got = judge(d, ["page_id", "host", "_rate", "url"]).orderBy("page_id").collect()
+    assert [tuple(r) for r in got] == [(1, 2, "http://a.org/x", "a.org", "/x", "org/", "allow"), (2, 2, None, "", "", None, "allow")]
+
+
+def test_tree_verdicts_are_the_models(spark):
+    """The query's verdicts of URLs that no rule fits are those of a model trained anew, one URL at a time."""
+    from siftline.llm.url_filters import judge, known, learned, suffix_rates
+
+    urls = [f"http://s{k % 13}.example.{'com' if k % 3 else 'org'}/{'de' if k % 2 else 'fr'}/{k * 37 % 101}" for k in range(400)] + [f"https://x{k}.net/{'de' if k % 2 else 'a'}/p?q={k}" for k in range(60)]
+    got = {r["url"]: r for r in judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3), ["page_id", "url"]).collect()}
+    labelled = spark.createDataFrame([(u, int(r["verdict"] == "block")) for u, r in got.items() if r["rule"]], "url string, blocked int")
+    prior = labelled.toPandas()["blocked"].mean()
+    rates = suffix_rates(labelled, prior)
+    model, by = learned(labelled, rates, prior), {r["suffix"]: r["rate"] for r in rates.collect()}
+    for u, r in got.items():
+        if r["rule"] is None:
+            host = r["host"]
+            rate = by.get(".".join(host.split(".")[-2:]), by.get(host.split(".")[-1]))
+            assert r["verdict"] == ("block" if model.blocks([u], [known(rate, prior)])[0] else "allow")

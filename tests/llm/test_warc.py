@@ -6,6 +6,7 @@ import pyarrow.fs as fs
 from siftline.llm.warc import make_record, members, op2_warc, page_of, parse, read_warc, write_warc, _Window
 
 LONG = "x" * 1500
+from pyspark.sql import functions as F
 
 
 def pages(spark):
@@ -55,3 +56,25 @@ def test_query(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()]
     got = op2_warc(spark, sf).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
     assert sorted(map(tuple, got), key=str) == brute(rows)
+
+
+def test_short_payloads_are_spread_and_damage_shows(spark, tmp_path):
+    from siftline.llm.warc import DAMAGED, read_warc, write_warc
+
+    pages = spark.range(2000).select(F.col("id").alias("page_id"), F.lit("http://h/").alias("url"), F.lit("").alias("html"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        files = write_warc(pages, f"{tmp_path}/plain")
+        sizes = [r["records"] for r in files.collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert sum(sizes) == 2000 and max(sizes) < 1200 and read_warc(files).where("record_type = 'response'").count() == 2000
+    path = files.first()["path"]
+    assert path.startswith("file:///")
+    local = path.removeprefix("file://")
+    data = bytearray(open(local, "rb").read())
+    data[-40:-10] = bytes(30)  # the last record's compressed end
+    open(local, "wb").write(bytes(data))
+    got = {r["record_type"]: r["count"] for r in read_warc(files).groupBy("record_type").count().collect()}
+    assert got == {"response": 1999, DAMAGED: 1}

@@ -174,8 +174,9 @@ def learned_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **op
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("_doc")).agg(F.min("quality").alias("_quality"))
     known = known.orderBy(F.xxhash64("_doc"), "_doc").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_doc")).select("doc_id", "_quality", statistics(F.col("text")).alias("s"))
-    got = rows.select("doc_id", "_quality", *(v.alias(k) for k, v in features(F.col("s")).items())).collect()
-    got = sorted({r["doc_id"]: r for r in sorted(got, key=tuple)}.values(), key=lambda r: (r["doc_id"] * 0x9E3779B97F4A7C15 & (2**64 - 1), r["doc_id"]))
+    row = F.struct(*(v.alias(k) for k, v in features(F.col("s")).items()))
+    got = rows.select("doc_id", "_quality", row.alias("x")).groupBy("doc_id", "_quality").agg(F.max("x").alias("x")).select("doc_id", "_quality", "x.*").collect()  # of repeated ids one, so a row for each label
+    got = sorted(got, key=lambda r: (r["doc_id"] * 0x9E3779B97F4A7C15 & (2**64 - 1), r["doc_id"]))
     x = {k: np.array([r[k] for r in got], float) for k in FEATURES}
     return learn(x, np.array([r["_quality"] == 0 for r in got], bool), **options)
 
@@ -191,7 +192,11 @@ def judgement(text: Column, rules: list[Rule]) -> Column:
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all columns as they are, that neither the base rules nor the learned list reject."""
+    """The rows of docs, all columns as they are, that neither the base rules nor the learned list reject.
+
+    Null and empty texts have no words and are rejected; very long texts are judged whole; repeated rows have one verdict
+    and stay or go together; other columns may have any names; an empty table, or labels of one kind, give no learned rules.
+    """
     return docs.where(judgement(F.col("text"), learned_rules(docs, labels, **options))["kept"])
 
 

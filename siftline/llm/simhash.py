@@ -226,8 +226,9 @@ def near_links(dealt: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFr
 def with_components(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
     """doc_id, fp, component_id for each row of docs: the smallest doc_id reachable over links of at most radius bits.
 
-    Rows without words have fingerprint 0, linked like any other. Rows with a null doc_id take part; a component of only
-    such rows has a null id. Repeated rows stay. An empty table gives no rows.
+    Rows without words have fingerprint 0, linked like any other; very long texts are fingerprinted whole. Rows with a null
+    doc_id take part; a component of only such rows has a null id. Repeated rows stay. Other columns are ignored. An empty
+    table gives no rows.
     """
     prints = land(fingerprints(docs, words, seed), "simhash-prints")
     distinct = land(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")

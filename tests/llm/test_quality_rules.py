@@ -72,3 +72,24 @@ def test_query(spark, sf):
         n = brute(texts[r["doc_id"]])
         failed = n[0] < 10 or 100 * n[4] > 20 * n[0]
         assert (tuple(r[k] for k in BASE), r["base_failed"]) == (n, failed) and not (failed and r["kept"])
+
+
+def test_verdicts_are_those_of_the_rules(spark, sf):
+    from siftline.llm.quality_rules import FEATURES, features
+
+    sf = sf.replace("0.001", "0.01")
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rules = learned_rules(docs, labels)
+    assert rules
+    x = {r["doc_id"]: r for r in docs.select("doc_id", statistics(F.col("text")).alias("s")).select("doc_id", *(v.alias(k) for k, v in features(F.col("s")).items())).collect()}
+    got = op6_quality_rules(spark, sf).collect()
+    columns = {k: np.array([x[r["doc_id"]][k] for r in got], float) for k in FEATURES}
+    rejected = np.any([rule.covers(columns) for rule in rules], axis=0)
+    assert [r["kept"] for r in got] == [not r["base_failed"] and not bad for r, bad in zip(got, rejected.tolist())] and rejected.any()
+
+
+def test_repeated_rows_are_one_row_of_the_sample(spark):
+    good, bad = "fine words " + " ".join(f"w{k}" for k in range(30)), "junk ### " * 12 + " ".join(f"v{k}" for k in range(40))
+    d = spark.createDataFrame([(k % 20, good if k % 2 else bad) for k in range(2000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, quality int")
+    assert learned_rules(d, labels) == learned_rules(d.distinct(), labels)

@@ -1,7 +1,8 @@
 """SimHash near-duplicates: fingerprints, exact search within a Hamming radius, bit-sliced comparison, components.
 
 Distinct fingerprints are dealt to tables by all pairs of 6 blocks of their bits. Two fingerprints that differ in 4 bits or
-fewer agree in 2 of the blocks, so they meet in one table's bucket at least; no candidate is capped. A bucket's
+fewer agree in 2 of the blocks, so they meet in one table's bucket at least; no candidate is capped. Of very many
+fingerprints more blocks are made and more of them go into a key, so that buckets stay small. A bucket's
 fingerprints are stored as bit planes, 64 to a word. One query's distances to the 64 of a word are counted at once by
 carry-save adders on bits, and (query, word) pairs in which all lanes exceed the radius are dropped every 8 planes.
 Each bucket gives a spanning forest of its links, never all pairs.
@@ -26,14 +27,22 @@ SHINGLE = 4
 SEED = 42
 #: Fingerprints of a bucket that one task compares; larger buckets are split into pairs of parts.
 HOT = 2048
+#: Fingerprints of an average bucket, beyond which keys get longer.
+CROWD = 512
 ONES = np.uint64(2**64 - 1)
 
 
-def blocks_of(radius: int) -> tuple[list[tuple[int, int]], int]:
-    """Bit ranges (from, width) of radius + 2 blocks, and how many of them two near fingerprints share: 2."""
-    n = radius + 2
+def blocks_of(radius: int, share: int = 2) -> list[tuple[int, int]]:
+    """Bit ranges (from, width) of radius + share blocks: near fingerprints agree in share of them at least."""
+    n = radius + share
     edges = [64 * k // n for k in range(n + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:])], 2
+    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+
+
+def shared_blocks(count: int, radius: int = RADIUS, most: int = CROWD) -> int:
+    """How many blocks a table's key has: the fewest, from 2 to 4, by which count fingerprints make buckets of about most or
+    fewer. More blocks in a key mean more tables of smaller buckets; every choice finds all near pairs."""
+    return next((s for s in (2, 3) if count <= most << (64 * s // (radius + s))), 4)
 
 
 #: The bits of each byte, lowest first, and where each of a hash's 8 bytes is counted.
@@ -198,11 +207,17 @@ def _compare(radius: int):
     return run
 
 
-def in_tables(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """node (a distinct fingerprint fp), tab and key: its bucket in the table of each pair of blocks."""
-    blocks, share = blocks_of(radius)
+def in_tables(distinct: DataFrame, radius: int = RADIUS, share: int = 2) -> DataFrame:
+    """node (a distinct fingerprint fp), tab and key: its bucket in the table of each choice of share blocks."""
     bits = lambda a, w: F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << w) - 1))
-    keys = [F.struct(F.lit(k).alias("tab"), F.shiftleft(bits(*x), y[1]).bitwiseOR(bits(*y)).alias("key")) for k, (x, y) in enumerate(combinations(blocks, share))]
+
+    def key(chosen):
+        out = bits(*chosen[0])
+        for block in chosen[1:]:
+            out = F.shiftleft(out, block[1]).bitwiseOR(bits(*block))
+        return out
+
+    keys = [F.struct(F.lit(k).alias("tab"), key(c).alias("key")) for k, c in enumerate(combinations(blocks_of(radius, share), share))]
     return distinct.select(F.col("fp").alias("node"), F.explode(F.array(*keys)).alias("k")).select("node", "k.tab", "k.key")
 
 
@@ -232,7 +247,7 @@ def with_components(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS,
     """
     prints = land(fingerprints(docs, words, seed), "simhash-prints")
     distinct = land(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    roots = roots_of(near_links(in_tables(distinct, radius), radius), "simhash")
+    roots = roots_of(near_links(in_tables(distinct, radius, shared_blocks(distinct.count(), radius)), radius), "simhash")
     placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = placed.join(ids, "root").select("fp", "component_id")

@@ -185,3 +185,19 @@ def test_links_by_exact_similarity(spark, most):
 
 def test_empty(spark):
     assert with_components(rows(spark).limit(0)).count() == 0 and without_near_copies(rows(spark).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("share", [2, 3, 4])
+def test_near_fingerprints_meet_in_a_table(spark, share):
+    from siftline.llm.simhash import in_tables, shared_blocks
+
+    rng = np.random.default_rng(share)
+    a = rng.integers(0, 2**63, 300).astype(np.uint64)
+    b = a.copy()
+    for k in range(300):
+        for bit in rng.choice(64, 4, replace=False):
+            b[k] ^= np.uint64(1 << int(bit))
+    d = spark.createDataFrame([(int(x),) for x in np.concatenate([a, b]).view(np.int64)], "fp long")
+    met = {(r["x"], r["y"]) for r in in_tables(d, 4, share).groupBy("tab", "key").agg(F.collect_list("node").alias("n")).where("size(n) > 1").select(F.explode("n").alias("x"), "n").select("x", F.explode("n").alias("y")).collect()}
+    assert all((int(x), int(y)) in met for x, y in zip(a.view(np.int64), b.view(np.int64)))
+    assert [shared_blocks(n) for n in (0, 10**6, 10**10, 10**12)] == [2, 2, 3, 4]

@@ -47,6 +47,21 @@ def candidates(index: Index, terms: list[str]) -> DataFrame:
     return index.analysed.where(F.arrays_overlap("terms", F.array(*map(F.lit, sorted(set(terms)))))).select("doc_id").distinct()
 
 
+def _frequency(index: Index, hits: DataFrame, terms: list[str], own: list[str]) -> DataFrame:
+    """own, term, df, n_docs, avg_len, times (in the query) for each term that occurs: small by the query's length and the shards, not
+    by the corpus. An index that is computed from its documents gives all of it in one pass."""
+    times = Counter(terms)
+    if index.analysed is not None and times:
+        has = [F.sum(F.array_contains("terms", t).cast("long")).alias(f"df{k}") for k, t in enumerate(times)]
+        x = index.analysed.groupBy(*own).agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("terms")).alias("avg_len"), *has)
+        each = F.array(*(F.struct(F.lit(t).alias("term"), F.col(f"df{k}").alias("df"), F.lit(float(n)).alias("times")) for k, (t, n) in enumerate(times.items())))
+        return x.select(*own, "n_docs", "avg_len", F.explode(each).alias("t")).select(*own, "n_docs", "avg_len", "t.*").where("df > 0 AND avg_len > 0")
+    stats = index.docs.groupBy(*own).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len"))
+    found = hits.groupBy(*own, "term").agg(F.count(F.lit(1)).alias("df"))
+    n = F.coalesce(*(F.when(F.col("term") == t, F.lit(float(n))) for t, n in times.items()), F.lit(0.0)) if times else F.lit(0.0)
+    return (found.join(stats, "shard_id") if own else found.join(F.broadcast(stats))).where("avg_len > 0").withColumn("times", n)
+
+
 def bm25(index: Index, terms: list[str], scope: str = "global", k1: float = K1, b: float = B) -> DataFrame:
     """shard_id, doc_id, score of all candidates; a term counts as often as the query repeats it.
 
@@ -56,11 +71,7 @@ def bm25(index: Index, terms: list[str], scope: str = "global", k1: float = K1,
         raise ValueError(f"unknown scope: {scope}")
     hits = counted(index, terms)
     own = ["shard_id"] if scope == "shard" else []
-    stats = index.docs.groupBy(*own).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len"))
-    # One row for each query term (and shard): small by the query's length, not by the corpus.
-    frequency = hits.groupBy(*own, "term").agg(F.count(F.lit(1)).alias("df"))
-    times = F.coalesce(*(F.when(F.col("term") == t, F.lit(float(n))) for t, n in Counter(terms).items()), F.lit(0.0)) if terms else F.lit(0.0)
-    frequency = (frequency.join(stats, "shard_id") if own else frequency.join(F.broadcast(stats))).where("avg_len > 0").withColumn("factor", idf(F.col("n_docs"), F.col("df")) * times)
+    frequency = _frequency(index, hits, terms, own).withColumn("factor", idf(F.col("n_docs"), F.col("df")) * F.col("times"))
     scored = hits.join(F.broadcast(frequency), [*own, "term"])  # at most terms x shards rows
     scored = scored.withColumn("w", F.col("factor") * weight(F.col("tf"), F.col("doc_len"), F.col("avg_len"), k1, b))
     return scored.groupBy("shard_id", "doc_id").agg(F.sum("w").alias("score"))

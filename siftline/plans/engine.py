@@ -90,6 +90,7 @@ def bootstrap(store: Store, documents: DataFrame, shards: tuple[str, ...], batch
         new.vectors = store.landed(embedded(lacking, model).withColumn("shard_id", own), "bootstrap-vectors")
     counts = batches(lacking, batch).groupBy("shard_id").agg(F.count(F.lit(1)).alias("n_missing"), F.countDistinct("batch").alias("n_batches"))
     todo = [r["shard_id"] for r in lacking.select("shard_id").distinct().collect()]  # shards
+    new = store.prepared(new)
     for shard in todo:
         store.append(shard, new)
     n = new.vectors.groupBy("shard_id").agg(F.count(F.lit(1)).alias("n_embedded")) if new.vectors is not None else spark.createDataFrame([], "shard_id string, n_embedded long")

@@ -45,6 +45,7 @@ def ingest(existing: DataFrame, pages: DataFrame, next_id: int, store: Store | N
     if store is not None:
         changed = after.join(found.where("change_type <> 'unchanged'").select("url").distinct(), "url", "left_semi")
         new = build(changed, T.lexical_text(F.col("title"), F.col("content")), stems, shard=ring.shard_of(F.col("doc_id"), list(shards)))
+        new = store.prepared(new)
         for s in shards:
             store.append(s, new)
     return Ingested(after, found, changes.change_events(named))

@@ -10,7 +10,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.index import Index, merge
+from ..operators.index import Index, from_terms, merge
 from .shared import landed
 
 STATES = ("new", "loading", "persisting", "ready", "failed")
@@ -124,14 +124,23 @@ class Store:
         generation = old.generation + 1 if old else 0
         return generation, f"segment-{generation:06d}", old
 
+    def prepared(self, index: Index) -> Index:
+        """An index that is computed from its documents, their terms written first, once for all shards and passes."""
+        if index.analysed is None:
+            return index
+        out = from_terms(landed(index.analysed, "analysed"))
+        out.vectors, out.analysed = index.vectors, None
+        return out
+
     def publish(self, shard_id: str, index: Index) -> Manifest:
         """Write the shard's rows as the next generation, point the manifest at it, remove what nothing refers to."""
         generation, segment, _ = self._next(shard_id)
-        self._write(shard_id, segment, index)
+        self._write(shard_id, segment, self.prepared(index))
         return self._point(shard_id, generation, (segment,))
 
     def publish_all(self, shards: list[str], index: Index) -> None:
         """publish for several shards of one index, some at a time."""
+        index = self.prepared(index)
         with ThreadPoolExecutor(min(8, max(1, len(shards)))) as pool:
             list(pool.map(lambda s: self.publish(s, index), shards))
 
@@ -139,7 +148,7 @@ class Store:
         """The next generation: the last one's segments and one more, with the shard's rows of index and the documents (doc_id)
         that go. Only these rows are written."""
         generation, segment, old = self._next(shard_id)
-        self._write(shard_id, segment, index, gone)
+        self._write(shard_id, segment, index if index is None else self.prepared(index), gone)
         return self._point(shard_id, generation, (*(old.active_segments if old else ()), segment))
 
     def compact(self, shard_id: str) -> Manifest:

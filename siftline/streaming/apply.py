@@ -109,6 +109,7 @@ class Applier:
             new = build(fresh, T.lexical_text(F.col("title"), F.col("content")), self.stems, shard=ring.shard_of(F.col("doc_id"), list(self.shards), self.virtual_nodes))
             gone = last.select(F.col("document_id").alias("doc_id"))
             store = Store(self.spark, f"{self.root}/index")
+            new = store.prepared(new)
             for shard in self.shards:
                 m = store.append(shard, new, gone)
                 if len(m.active_segments) > self.most_segments:

@@ -26,18 +26,13 @@ def matching(index: Index, terms: list[str]) -> DataFrame:
     return index.postings.where(F.col("term").isin(*sorted(set(terms)))) if terms else index.postings.where(F.lit(False))
 
 
-def counted(index: Index, terms: list[str]) -> DataFrame:
-    """shard_id, term, doc_id, tf, doc_len of the query's terms. Of stored postings those of the terms are read; of an index that is
-    computed from its documents the terms are counted in each row, without making other postings."""
-    if index.analysed is None:
-        return matching(index, terms).select("shard_id", "term", "doc_id", "tf").join(index.docs, ["shard_id", "doc_id"])
-    wanted = sorted(set(terms))
-    if not wanted:
-        return index.analysed.select("shard_id", F.lit("").alias("term"), "doc_id", F.lit(0).alias("tf"), F.lit(0).alias("doc_len")).where(F.lit(False))
+def term_counts(index: Index, terms: list[str]) -> DataFrame:
+    """shard_id, doc_id, doc_len and tfs (how often each of terms occurs) of every document of an index that is computed from
+    its documents. Dealt by document, so that the two uses below share one shuffle of these few numbers instead of analysing
+    all texts twice."""
     times = lambda t: F.size(F.filter("found", lambda x: x == t))
-    each = F.array(*(F.struct(F.lit(t).alias("term"), times(t).alias("tf")) for t in wanted))
-    x = index.analysed.select("shard_id", "doc_id", F.size("terms").alias("doc_len"), F.filter("terms", lambda t: t.isin(*wanted)).alias("found"))
-    return x.where(F.size("found") > 0).select("shard_id", "doc_id", "doc_len", F.explode(each).alias("t")).select("shard_id", "t.term", "doc_id", "t.tf", "doc_len").where("tf > 0")
+    x = index.analysed.select("shard_id", "doc_id", F.size("terms").alias("doc_len"), F.filter("terms", lambda t: t.isin(*terms)).alias("found"))
+    return x.select("shard_id", "doc_id", "doc_len", F.array(*map(times, terms)).alias("tfs")).repartition("doc_id")
 
 
 def candidates(index: Index, terms: list[str]) -> DataFrame:
@@ -47,19 +42,25 @@ def candidates(index: Index, terms: list[str]) -> DataFrame:
     return index.analysed.where(F.arrays_overlap("terms", F.array(*map(F.lit, sorted(set(terms)))))).select("doc_id").distinct()
 
 
-def _frequency(index: Index, hits: DataFrame, terms: list[str], own: list[str]) -> DataFrame:
-    """own, term, df, n_docs, avg_len, times (in the query) for each term that occurs: small by the query's length and the shards, not
-    by the corpus. An index that is computed from its documents gives all of it in one pass."""
-    times = Counter(terms)
-    if index.analysed is not None and times:
-        has = [F.sum(F.array_contains("terms", t).cast("long")).alias(f"df{k}") for k, t in enumerate(times)]
-        x = index.analysed.groupBy(*own).agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("terms")).alias("avg_len"), *has)
-        each = F.array(*(F.struct(F.lit(t).alias("term"), F.col(f"df{k}").alias("df"), F.lit(float(n)).alias("times")) for k, (t, n) in enumerate(times.items())))
-        return x.select(*own, "n_docs", "avg_len", F.explode(each).alias("t")).select(*own, "n_docs", "avg_len", "t.*").where("df > 0 AND avg_len > 0")
+def _stored(index: Index, terms: list[str], own: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Hits (shard_id, term, doc_id, tf, doc_len), of which the scan reads the terms' postings, and for each term (own, term)
+    df, n_docs, avg_len: small by the query's length and the shards, not by the corpus."""
+    hits = matching(index, terms).select("shard_id", "term", "doc_id", "tf").join(index.docs, ["shard_id", "doc_id"])
     stats = index.docs.groupBy(*own).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len"))
     found = hits.groupBy(*own, "term").agg(F.count(F.lit(1)).alias("df"))
-    n = F.coalesce(*(F.when(F.col("term") == t, F.lit(float(n))) for t, n in times.items()), F.lit(0.0)) if times else F.lit(0.0)
-    return (found.join(stats, "shard_id") if own else found.join(F.broadcast(stats))).where("avg_len > 0").withColumn("times", n)
+    return hits, found.join(stats, "shard_id") if own else found.join(F.broadcast(stats))
+
+
+def _computed(index: Index, terms: list[str], own: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The same of an index that is computed from its documents."""
+    x = term_counts(index, terms)
+    each = F.array(*(F.struct(F.lit(t).alias("term"), F.col("tfs")[k].alias("tf")) for k, t in enumerate(terms)))
+    # An outer explode, because the filter that Spark infers from another one would go below the shuffle and part the two uses.
+    hits = x.select("shard_id", "doc_id", "doc_len", F.explode_outer(each).alias("t")).select("shard_id", "t.term", "doc_id", "t.tf", "doc_len").where("tf > 0")
+    has = [F.sum((F.col("tfs")[k] > 0).cast("long")).alias(f"df{k}") for k in range(len(terms))]
+    stats = x.groupBy(*own).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("doc_len").alias("avg_len"), *has)
+    dfs = F.array(*(F.struct(F.lit(t).alias("term"), F.col(f"df{k}").alias("df")) for k, t in enumerate(terms)))
+    return hits, stats.select(*own, "n_docs", "avg_len", F.explode(dfs).alias("t")).select(*own, "n_docs", "avg_len", "t.*").where("df > 0")
 
 
 def bm25(index: Index, terms: list[str], scope: str = "global", k1: float = K1, b: float = B) -> DataFrame:
@@ -69,9 +70,11 @@ def bm25(index: Index, terms: list[str], scope: str = "global", k1: float = K1,
     """
     if scope not in ("global", "shard"):
         raise ValueError(f"unknown scope: {scope}")
-    hits = counted(index, terms)
     own = ["shard_id"] if scope == "shard" else []
-    frequency = _frequency(index, hits, terms, own).withColumn("factor", idf(F.col("n_docs"), F.col("df")) * F.col("times"))
+    times = Counter(terms)
+    hits, frequency = (_stored if index.analysed is None or not times else _computed)(index, sorted(times), own)
+    n = F.coalesce(*(F.when(F.col("term") == t, F.lit(float(k))) for t, k in times.items()), F.lit(0.0)) if times else F.lit(0.0)
+    frequency = frequency.where("avg_len > 0").withColumn("factor", idf(F.col("n_docs"), F.col("df")) * n)
     scored = hits.join(F.broadcast(frequency), [*own, "term"])  # at most terms x shards rows
     scored = scored.withColumn("w", F.col("factor") * weight(F.col("tf"), F.col("doc_len"), F.col("avg_len"), k1, b))
     return scored.groupBy("shard_id", "doc_id").agg(F.sum("w").alias("score"))

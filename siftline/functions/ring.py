@@ -25,5 +25,8 @@ def shard_of(doc_id: Column, shards: list[str], virtual_nodes: int = VIRTUAL_NOD
     """The shard of the first point strictly after the id's digest, around the ring."""
     points = ring(shards, virtual_nodes)
     digest = F.sha2(doc_id.cast("string"), 256)
-    at = F.size(F.filter(F.array(*(F.lit(p) for p, _ in points)), lambda p: p <= digest))
+    if len(shards) == 1:
+        return F.when(doc_id.isNotNull(), F.lit(shards[0]))
+    passed = lambda d: F.size(F.filter(F.array(*(F.lit(p) for p, _ in points)), lambda p: p <= d))
+    at = F.transform(F.array(digest), passed)[0]  # the digest is computed once, not for each point
     return F.when(doc_id.isNotNull(), F.element_at(F.array(*(F.lit(s) for _, s in points), F.lit(points[0][1])), at + 1))

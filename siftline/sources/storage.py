@@ -101,8 +101,10 @@ class Store:
             index = Index(empty("shard_id string, term string, doc_id long, tf int, positions array<int>"), empty("shard_id string, doc_id long, doc_len int"))
         docs = mine(index.docs)
         docs.write.mode("overwrite").parquet(self._at(shard_id, segment, "docs"))
-        # Ranges of terms, sorted: a query's terms touch few row groups.
-        mine(index.postings).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(self._at(shard_id, segment, "postings"))
+        # Sorted by term: of each file a query's terms touch few pages. Postings of documents are sorted where they are made;
+        # those of stored segments, as in a compaction, are dealt by ranges of terms, which reads them twice.
+        rows = mine(index.postings) if index.analysed is not None else mine(index.postings).repartitionByRange("term", "doc_id")
+        rows.sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(self._at(shard_id, segment, "postings"))
         if index.vectors is not None:
             stray = mine(index.vectors).join(docs.select("doc_id"), "doc_id", "left_anti").limit(1).count()
             if stray:
@@ -125,11 +127,12 @@ class Store:
         return generation, f"segment-{generation:06d}", old
 
     def prepared(self, index: Index) -> Index:
-        """An index that is computed from its documents, their terms written first, once for all shards and passes."""
-        if index.analysed is None:
+        """An index that is computed from its documents, their terms written first, once for all shards and passes, each
+        shard's in a folder of its own."""
+        if index.analysed is None or index.prepared:
             return index
-        out = from_terms(landed(index.analysed, "analysed"))
-        out.vectors, out.analysed = index.vectors, None
+        out = from_terms(landed(index.analysed.withColumn("doc_len", F.size("terms")), "analysed", by=("shard_id",)))
+        out.vectors, out.prepared = index.vectors, True
         return out
 
     def publish(self, shard_id: str, index: Index) -> Manifest:

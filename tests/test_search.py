@@ -203,3 +203,57 @@ def test_query_terms_reach_the_scan(spark, tmp_path):
     x.postings.write.parquet(str(tmp_path / "p"))
     plan = lexical.matching(X.Index(spark.read.parquet(str(tmp_path / "p")), x.docs), ["python"]).select("doc_id")._jdf.queryExecution().toString()
     assert "EqualTo(term,python)" in plan and "positions" not in plan.split("ReadSchema")[-1]
+
+
+def test_postings_of_arrow_lists():
+    """Nulls, blanks, repeats and slices; a later list takes its terms away."""
+    import pyarrow as pa
+
+    lists = pa.array([["x"], ["b", "a", "b", "", None, "a"], None, [], ["a"], ["c", "c"]], pa.list_(pa.string()))
+    as_sets = lambda got: [sorted((e["term"], tuple(e["positions"])) for e in row) for row in got.to_pylist()]
+    whole = [[("x", (0,))], [("a", (1, 5)), ("b", (0, 2))], [], [], [("a", (0,))], [("c", (0, 1))]]
+    assert as_sets(X._cut(lists)) == whole and as_sets(X._cut(lists[1:])) == whole[1:] and as_sets(X._cut(lists[:0])) == []
+    late = pa.array([["x"], ["a", "z"], ["b"], None, None, ["a", None]], pa.list_(pa.string()))
+    assert as_sets(X._cut(lists, late)) == [[], [("b", (0, 2))], [], [], [("a", (0,))], [("c", (0, 1))]]
+
+
+def test_publishing_documents_makes_postings_once(spark, tmp_path, monkeypatch):
+    """Dealing by ranges would make them twice, once for the sample of the ranges; compaction reads stored rows."""
+    from siftline.sources.storage import Store
+
+    dealt, frame = [], type(spark.range(1))
+    deal = frame.repartitionByRange
+    monkeypatch.setattr(frame, "repartitionByRange", lambda self, *a: dealt.append(a) or deal(self, *a))
+    store = Store(spark, f"file://{tmp_path}/s")
+    d = spark.createDataFrame([(1, "wordb worda wordb"), (2, "worda")], "doc_id long, t string")
+    store.publish("shard-0", X.build(d, F.col("t")))
+    assert not dealt
+    got = lambda: sorted(map(tuple, store.load("shard-0").postings.select("term", "doc_id", "tf", "positions").collect()))
+    want = [("worda", 1, 1, [1]), ("worda", 2, 1, [0]), ("wordb", 1, 2, [0, 2])]
+    assert got() == want
+    store.compact("shard-0")
+    assert dealt and got() == want
+
+
+def test_ring_digest_is_computed_once(spark):
+    from siftline.functions import ring
+
+    d = spark.range(50).select(F.col("id"), ring.shard_of(F.col("id"), ["a", "b"], 5).alias("s"))
+    assert "<= sha2" not in d._jdf.queryExecution().optimizedPlan().toString()
+    import bisect
+    import hashlib
+
+    points = ring.ring(["a", "b"], 5)
+    for r in d.collect():
+        at = bisect.bisect_right([p for p, _ in points], hashlib.sha256(str(r["id"]).encode()).hexdigest())
+        assert r["s"] == points[at % len(points)][1]
+
+
+def test_legacy_merge_shuffles_no_posting(spark):
+    """Three segments: the last writer of each term wins, and documents are what is dealt."""
+    a, b, c = (X.build(spark.createDataFrame(rows, "doc_id long, t string"), F.col("t")) for rows in ([(1, "worda worda wordb"), (2, "worda"), (None, "wordx wordx")], [(1, "worda wordc"), (None, "wordx")], [(1, "wordc wordc"), (3, None)]))
+    out = X.merge([a, b, c], "legacy")
+    assert sorted(map(str, map(tuple, out.postings.select("doc_id", "term", "tf").collect()))) == sorted(map(str, [(1, "wordb", 1), (1, "worda", 1), (1, "wordc", 2), (2, "worda", 1), (None, "wordx", 1)]))
+    assert sorted(r["doc_len"] for r in out.docs.collect()) == [0, 1, 1, 2]
+    plan = out.postings._jdf.queryExecution().optimizedPlan().toString()
+    assert "max_by" not in plan

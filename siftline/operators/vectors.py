@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import lru_cache
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import bound_batches
+
 
 def as_doubles(v: Column) -> Column:
     return v.cast("array<double>")
@@ -71,6 +74,11 @@ class EmbeddingModel(Protocol):
     def embed(self, text: str) -> list[float]: ...
 
 
+@lru_cache(1 << 16)
+def _word_hash(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
+
+
 class HashingModel:
     """A deterministic stand-in for a trained model: signed hashes of words, at unit length. Its vectors carry word overlap
     only."""
@@ -85,7 +93,7 @@ class HashingModel:
             raise ValueError("a blank text has no embedding")
         out = [0.0] * self.dimension
         for w in text.lower().split():
-            h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
+            h = _word_hash(w)
             out[h % self.dimension] += 1.0 if h >> 63 else -1.0
         length = math.sqrt(sum(x * x for x in out))
         return [x / length for x in out] if length else [1.0, *out[1:]]
@@ -101,4 +109,5 @@ def embedded(docs: DataFrame, model: EmbeddingModel, content: str = "content") -
     def run(s):
         return s.map(model.embed)
 
+    bound_batches(docs.sparkSession)
     return docs.where(F.trim(F.regexp_replace(F.coalesce(content, F.lit("")), r"(?U)\s+", " ")) != "").select("doc_id", run(content).alias("embedding"))
